@@ -144,21 +144,14 @@ def whole(ptr: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(fits[:n]) > 0
 
 
-def minimizers(hashes: np.ndarray, ptr: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each run of span consecutive positions of a row the leftmost position with the least hash.
-
-    hashes: one for each position; ptr: positions of each row. Gives (starts of the runs, chosen positions).
-    """
-    n = len(hashes)
-    starts = np.flatnonzero(whole(ptr, span)) if n >= span else np.zeros(0, np.int64)
-    if not len(starts):
-        return starts, starts
-    best = np.arange(n)
+def minimizers(hashes: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """For each start the leftmost of the span positions from there that has the least hash."""
+    best = np.arange(len(hashes))
     width = 1
-    while width < span:
+    while width < span and len(starts):
         step = min(width, span - width)
-        m = n - step
+        m = max(len(hashes) - step, 0)
         left, right = best[:m], best[step:]
         best = np.concatenate([np.where(hashes[right] < hashes[left], right, left), best[m:]])
         width += step
-    return starts, best[starts]
+    return best[starts]
