@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import settle, ship
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -14,6 +14,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Where ids are integers, unique and not null the key is the id. Otherwise documents are ordered by id, nulls last,
     then by the text's digest; rows with equal id and text share a key, so they get the same result.
     """
+    ship(docs.sparkSession)
     body = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select("doc_id", body.alias("text"), F.unhex(F.sha2(body, 256)).alias("digest"))
     whole_number = dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ _written: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver did; elsewhere it must be installed or sent by --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, or a temporary one where none is set (local tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,4 +68,5 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str, rows: int) -> Data
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

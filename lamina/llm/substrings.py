@@ -9,19 +9,24 @@ repeated minimizer, and only about 2 of 17 positions are shuffled. Every level c
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .identity import keyed
 from .storage import by_ids, settle
-from .words import Words, minimizers, whole, windows, word_chunks
+from .words import minimizers, whole, windows, word_chunks
 
-_POINTS = "h long, key long, pos int"
 _REGIONS = "key long, begins array<int>, sizes array<int>, hashes binary"
+_EXCHANGE = "part int, hits binary, h binary, h2 binary, keys binary, counts binary, pos binary"
+#: Points for each part of an exchange, and points that are sorted out at once before they are sent.
+PER_PART, AT_ONCE = 400_000, 500_000
 
 
 def _levels(window: int) -> list[int]:
@@ -36,22 +41,158 @@ def _chosen(hashes: np.ndarray, ptr: np.ndarray, length: int, window: int) -> tu
     return starts, minimizers(windows(hashes, length), starts, window - length + 1)
 
 
-def _points(hashes: np.ndarray, at: np.ndarray, keys: np.ndarray, positions: np.ndarray, length: int) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(windows(hashes, length)[at].view(np.int64)), pa.array(keys[at], pa.int64()), pa.array(positions[at].astype(np.int32))],
-        ["h", "key", "pos"],
-    )
+@dataclass
+class Points:
+    """Windows by hash and place."""
 
+    h: np.ndarray
+    h2: np.ndarray
+    keys: np.ndarray
+    pos: np.ndarray
 
-def _text_points(length: int, window: int):
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(self, at: np.ndarray) -> Points:
+        return Points(self.h[at], self.h2[at], self.keys[at], self.pos[at])
+
+
+def _points(hashes: np.ndarray, at: np.ndarray, keys: np.ndarray, positions: np.ndarray, length: int) -> Points:
+    return Points(windows(hashes, length)[at], (windows(hashes, length, 1)[at] >> np.uint64(32)).astype(np.uint32), keys[at], positions[at].astype(np.int32))
+
+
+def _in_groups(p: Points) -> tuple[Points, np.ndarray, np.ndarray]:
+    """(points by hash and place, begin of each group of equal hashes, group of each point)."""
+    p = p.take(np.lexsort((p.pos, p.keys, p.h2, p.h)))
+    fresh = np.ones(len(p.h), bool)
+    fresh[1:] = (p.h[1:] != p.h[:-1]) | (p.h2[1:] != p.h2[:-1])
+    return p, np.flatnonzero(fresh), np.cumsum(fresh) - 1
+
+
+def _by_key(p: Points) -> tuple[Points, np.ndarray]:
+    """(points by place, begin of each key)."""
+    p = p.take(np.lexsort((p.pos, p.keys)))
+    return p, np.flatnonzero(np.append(True, p.keys[1:] != p.keys[:-1]))[: len(p.keys)]
+
+
+def _sender(points, parts: int, all_of_group: bool):
+    """An exchange's first half: points gives Points for a batch. What is repeated within AT_ONCE points is settled here,
+    and each hash goes on once, so a hash of a third of all rows does not flood its part.
+
+    all_of_group: every point of a repeated hash is a hit; else all but the first by key and position.
+    """
+
+    def pack(held: list[Points]) -> Iterator[pa.RecordBatch]:
+        p, begin, group = _in_groups(Points(*(np.concatenate([getattr(x, c) for x in held]) for c in ("h", "h2", "keys", "pos"))))
+        size = np.diff(np.append(begin, len(p.h)))
+        hit = size[group] > 1
+        if not all_of_group:
+            hit[begin] = False
+        done, key_begin = _by_key(p.take(np.flatnonzero(hit)))
+        p, twice = p.take(begin), size > 1
+        if all_of_group:  # the lowest bit says that the hash is known to repeat and the point known to be a hit
+            p.h2 = (p.h2 & ~np.uint32(1)) | twice.astype(np.uint32)
+        part = ((p.h >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((p.pos, p.keys, part))
+        p, part = p.take(order), part[order]
+        columns: list[list] = [[] for _ in range(7)]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for at in np.split(np.arange(len(part)), cuts):
+            keys = p.keys[at]
+            runs = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            row = (int(part[at[0]]), None, p.h[at].tobytes(), p.h2[at].tobytes(), keys[runs].tobytes(), np.diff(np.append(runs, len(at))).astype(np.uint32).tobytes(), p.pos[at].tobytes())
+            for c, x in zip(columns, row):
+                c.append(x)
+        for lo in range(0, len(key_begin), 4096):  # hits found here travel along
+            runs = key_begin[lo : lo + 4096]
+            stop = key_begin[lo + 4096] if lo + 4096 < len(key_begin) else len(done.keys)
+            row = (int(done.keys[runs[0]]) % parts, b"", b"", b"", done.keys[runs].tobytes(), np.diff(np.append(runs, stop)).astype(np.uint32).tobytes(), done.pos[runs[0] : stop].tobytes())
+            for c, x in zip(columns, row):
+                c.append(x)
+        yield pa.record_batch([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], [c.split()[0] for c in _EXCHANGE.split(", ")])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            for lo, _, w in word_chunks(batch.column("text")):
-                _, at = _chosen(w.hashes, w.ptr, length, window)
-                if len(at):
-                    row = w.row_of
-                    yield _points(w.hashes, np.unique(at), keys[lo + row], np.arange(len(row)) - w.ptr[row], length)
+            for p in points(batch):
+                held.append(p)
+                n += len(p.h)
+                if n >= AT_ONCE:
+                    yield from pack(held)
+                    held, n = [], 0
+        if n:
+            yield from pack(held)
+
+    return send
+
+
+def _blob(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _receiver(parts: int, all_of_group: bool):
+    """An exchange's second half: the hits of one part, packed for the parts that their keys go to."""
+
+    def receive(table: pa.Table) -> pa.Table:
+        known = pc.is_valid(table["hits"])
+        out = []
+        for rows, settled in ((table.filter(known), True), (table.filter(pc.invert(known)), False)):
+            keys = np.repeat(_blob(rows["keys"], np.int64), _blob(rows["counts"], np.uint32))
+            pos = _blob(rows["pos"], np.int32)
+            if settled:
+                none = np.zeros(len(keys), np.uint8)
+                out.append(Points(none, none, keys, pos))
+                continue
+            h2 = _blob(rows["h2"], np.uint32)
+            twice = h2 & np.uint32(all_of_group)
+            flagged = Points(_blob(rows["h"], np.uint64), h2 & ~np.uint32(all_of_group), keys, pos)
+            order = np.lexsort((pos, keys, flagged.h2, flagged.h))
+            p, twice = flagged.take(order), twice[order]
+            fresh = np.ones(len(p.h), bool)
+            fresh[1:] = (p.h[1:] != p.h[:-1]) | (p.h2[1:] != p.h2[:-1])
+            begin, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            if all_of_group:
+                size = np.diff(np.append(begin, len(p.h)))
+                repeated = (size > 1) | (np.maximum.reduceat(twice, begin) > 0) if len(begin) else size > 1
+                hit = repeated[group] & (twice == 0) if len(group) else np.zeros(0, bool)
+            else:
+                hit = ~fresh
+            p = p.take(np.flatnonzero(hit))
+            out.append(Points(np.zeros(len(p.keys), np.uint8), np.zeros(len(p.keys), np.uint8), p.keys, p.pos))
+        p = Points(*(np.concatenate([getattr(x, c) for x in out]) for c in ("h", "h2", "keys", "pos")))
+        dest = (p.keys % parts).astype(np.int32)
+        order = np.lexsort((p.pos, p.keys, dest))
+        p, dest = p.take(order), dest[order]
+        rows = []
+        for at in np.split(np.arange(len(dest)), np.flatnonzero(np.diff(dest)) + 1) if len(dest) else []:
+            rows.append((int(dest[at[0]]), p.keys[at].tobytes(), p.pos[at].tobytes()))
+        return pa.table({"dest": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "pos": pa.array([r[2] for r in rows], pa.binary())})
+
+    return receive
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """The hits of each key that one destination got from all parts."""
+    keys, pos = _blob(table["keys"], np.int64), _blob(table["pos"], np.int32)
+    order = np.lexsort((pos, keys))
+    keys, pos = keys[order], pos[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+    return pa.table({"key": pa.array(keys[begin], pa.int64()), "hits": pa.ListArray.from_arrays(np.append(begin, len(keys)).astype(np.int32), pa.array(pos, pa.int32()))})
+
+
+def _exchange(df: DataFrame, points, expected: float, all_of_group: bool) -> DataFrame:
+    """key and the positions of its hits."""
+    parts = max(1, math.ceil(expected / PER_PART))
+    sent = df.mapInArrow(_sender(points, parts, all_of_group), _EXCHANGE)
+    found = sent.groupBy("part").applyInArrow(_receiver(parts, all_of_group), "dest int, keys binary, pos binary")
+    return found.groupBy("dest").applyInArrow(_gather, "key long, hits array<int>")
+
+
+def _text_points(length: int, window: int):
+    def points(batch: pa.RecordBatch) -> Iterator[Points]:
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        for lo, _, w in word_chunks(batch.column("text")):
+            _, at = _chosen(w.hashes, w.ptr, length, window)
+            if len(at):
+                row = w.row_of
+                yield _points(w.hashes, np.unique(at), keys[lo + row], np.arange(len(row)) - w.ptr[row], length)
 
     return points
 
@@ -120,9 +261,9 @@ def _pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
 
 
 def _region_points(length: int, window: int):
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in _pieces(b)):
-            hashes, ptr, _, keys, begins = _unpack(batch)
+    def points(batch: pa.RecordBatch) -> Iterator[Points]:
+        for piece in _pieces(batch):
+            hashes, ptr, _, keys, begins = _unpack(piece)
             _, at = _chosen(hashes, ptr, length, window)
             if len(at):
                 region = np.repeat(np.arange(len(begins)), np.diff(ptr))
@@ -132,36 +273,26 @@ def _region_points(length: int, window: int):
 
 
 def _full_windows(length: int, window: int):
-    """Both lanes of the hashes of the windows whose minimizer of length words was found repeated."""
+    """The windows whose minimizer of length words was found repeated; length 0: all windows of the regions."""
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in _pieces(b)):
-            hashes, ptr, row, keys, begins = _unpack(batch)
-            n = len(hashes)
+    def full(batch: pa.RecordBatch) -> Iterator[Points]:
+        for piece in _pieces(batch):
+            hashes, ptr, row, keys, begins = _unpack(piece)
             region = np.repeat(np.arange(len(begins)), np.diff(ptr))
+            position = np.arange(len(hashes)) - ptr[region] + begins[region]
             starts = np.flatnonzero(whole(ptr, window))
             if length:
                 at = minimizers(windows(hashes, length), starts, window - length + 1)
-                position = np.arange(n) - ptr[region] + begins[region]
-                hits = batch.column("hits")
-                hit_row = np.repeat(np.arange(len(batch)), hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                hits = piece.column("hits")
+                hit_row = np.repeat(np.arange(len(piece)), hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 listed = (hit_row << 40) | hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 starts = starts[np.isin((row[region[at]] << 40) | position[at], listed)]
             if len(starts):
-                yield pa.record_batch(
-                    [pa.array(windows(hashes, window)[starts].view(np.int64)), pa.array(windows(hashes, window, 1)[starts].view(np.int64)), pa.array(keys[region[starts]], pa.int64()), pa.array((starts - ptr[region[starts]] + begins[region[starts]]).astype(np.int32))],
-                    ["h", "h2", "key", "pos"],
-                )
+                yield _points(hashes, starts, keys[region], position, window)
 
     return full
 
 
-def _repeated(points: DataFrame) -> DataFrame:
-    """key and the list of the points whose hash occurs more than once anywhere."""
-    twice = points.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return points.join(twice.hint("shuffle_hash"), "h", "left_semi").groupBy("key").agg(F.collect_list("pos").alias("hits"))
-
-
 def _finish(window: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,17 +333,20 @@ def _first_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return texts, by_ids(texts, copies, "key", "left_anti", copies.count()), copies
 
 
-def _full_points(singles: DataFrame, window: int) -> DataFrame:
-    """Hashes and places of the windows that no level below the full length ruled out."""
+def _later(singles: DataFrame, window: int) -> DataFrame:
+    """key and the starts of its windows whose words also start earlier, level after level."""
     first, *rest = _levels(window)
-    hits = _repeated(singles.select("key", "text").mapInArrow(_text_points(first, window), _POINTS))
-    regions = singles.select("key", "text").join(hits.hint("shuffle_hash"), "key").mapInArrow(_text_regions(first, window), _REGIONS)
+    slim = singles.select("key", "text")
+    words = (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+    hits = _exchange(slim, _text_points(first, window), words * 2 / (window - first + 2), True)
+    regions = slim.join(hits.hint("shuffle_hash"), "key").mapInArrow(_text_regions(first, window), _REGIONS)
     regions = settle(regions, "regions")
+    words = (regions.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) / 8
     found, length = regions, 0
     for length in rest:
-        hits = _repeated(regions.mapInArrow(_region_points(length, window), _POINTS))
+        hits = _exchange(regions, _region_points(length, window), words * 2 / (window - length + 2), True)
         found = regions.join(hits.hint("shuffle_hash"), "key")
-    return found.mapInArrow(_full_windows(length, window), "h long, h2 long, key long, pos int")
+    return _exchange(found, _full_windows(length, window), words, False)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -221,13 +355,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     A word goes if a window of so many consecutive words covers it whose words also start earlier: in a document with a
     smaller id, or earlier in its own. Texts with fewer words keep all; null texts have no words. Rows with equal id
     and text are one document and get one result each; null ids come last; an empty table gives an empty result.
-    Windows are compared by 128-bit hashes. window must be at least 2.
+    Windows are compared by 96-bit hashes. window must be at least 2.
     """
     texts, singles, copies = _first_of_texts(docs)
-    points = settle(_full_points(singles, window), "windows")
-    first = points.groupBy("h", "h2").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "first")
-    later = points.join(first.hint("shuffle_hash"), ["h", "h2"]).where("struct(key, pos) > first")
-    hits = later.groupBy("key").agg(F.collect_list("pos").alias("hits")).select("key", "hits", F.lit(False).alias("copy"))
+    hits = _later(singles, window).select("key", "hits", F.lit(False).alias("copy"))
     marks = hits.unionByName(copies.select("key", F.lit(None).cast("array<int>").alias("hits"), F.lit(True).alias("copy")))
     kind = dict(docs.dtypes)["doc_id"]
     marked = texts.join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "hits", F.coalesce("copy", F.lit(False)).alias("copy"))

@@ -76,19 +76,23 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def word_chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, words) of chunk after chunk; null texts have no words."""
+def word_chunks(texts: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, words) of chunk after chunk; null texts have no words.
+
+    lower: A-Z count as a-z; table: bytes are first replaced by the table's.
+    """
+    table = _LOWER if lower else table
     offsets, raw = _buffers(texts)
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
-        yield lo, hi, split_words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower)
+        yield lo, hi, split_words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table)
         lo = hi
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    if lower:
-        data = _LOWER[data]
+def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None) -> Words:
+    if table is not None:
+        data = table[data]
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
