@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import new_path, ship
 
 CACHE_SCHEMA = "tokenizer binary, digest binary, n_tokens long"
 
@@ -98,6 +98,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", cache_
     A cache holds each digest once unless two calls append at a time; such repeats are equal and harmless.
     """
     spark = docs.sparkSession
+    ship(spark)
     cache_path = cache_path or new_path(spark, "token-cache")
     version = version_digest(tokenizer)
     body = F.coalesce(F.col("text"), F.lit(""))
