@@ -322,8 +322,11 @@ def _near(num: int, den: int):
     return near
 
 
-def _across(num: int, den: int):
-    """Of one bucket: the pairs of sets in different components whose bitmaps don't rule them out."""
+def _across(num: int, den: int, closest: bool):
+    """Of one bucket: the pairs of sets in different components whose bitmaps don't rule them out.
+
+    closest: for each set only the pair whose bitmaps differ least with each other component.
+    """
 
     def across(table: pa.Table) -> pa.Table:
         keys, first = np.unique(table["key"].to_numpy(), return_index=True)
@@ -347,6 +350,11 @@ def _across(num: int, den: int):
             fits &= ((flags[i][:, None] | flags[None]) & 1 == 1) & ((flags[i][:, None] & flags[None]) & 2 == 0)
             fits &= (label[None] == largest) | (keys[i][:, None] < keys[None])
             x, y = np.nonzero(fits)
+            if closest and len(x):
+                order = np.lexsort((differ[x, y], label[y], x))
+                x, y = x[order], y[order]
+                first = np.append(True, (x[1:] != x[:-1]) | (label[y[1:]] != label[y[:-1]]))
+                x, y = x[first], y[first]
             out.append(np.stack([np.minimum(keys[i[x]], keys[y]), np.maximum(keys[i[x]], keys[y])], 1))
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -409,10 +417,12 @@ def links(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> tupl
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("parity").alias("q"))
     close = stars.join(left, "a").join(right, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(_near(num, den), _PAIRS)
     found = settle(_verified(close, sets, num, den), "links")
-    labels = components(found)
-    known = sets.select("key", "n", "parity").join(labels, "key", "left").select("key", "n", "parity", F.coalesce("label", "key").alias("label"))
-    across = lists.join(known, "key").groupBy("list").applyInArrow(_across(num, den), _PAIRS).distinct()
-    return names, classes, settle(found.union(_verified(across, sets, num, den)), "links")
+    for closest in (True, False):  # first what links most likely, then all that is still apart
+        labels = components(found)
+        known = sets.select("key", "n", "parity").join(labels, "key", "left").select("key", "n", "parity", F.coalesce("label", "key").alias("label"))
+        across = lists.join(known, "key").groupBy("list").applyInArrow(_across(num, den, closest), _PAIRS).distinct()
+        found = settle(found.union(_verified(across, sets, num, den)), "links")
+    return names, classes, found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
