@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .storage import settle, ship
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs as doc_id, text, key; the distinct doc_id, digest, key). Null texts become empty.
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs as doc_id, text, key; one row for each key; the distinct doc_id, digest, key). Null texts become empty.
 
     Where ids are integers, unique and not null the key is the id. Otherwise documents are ordered by id, nulls last,
     then by the text's digest; rows with equal id and text share a key, so they get the same result.
@@ -23,11 +23,13 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         groups = slim.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
         if (groups["most"] or 0) <= 1 and not groups["nulls"]:
             key = F.col("doc_id").cast("long").alias("key")
-            return plain.select("doc_id", "text", key), slim.select("doc_id", "digest", key)
+            texts = plain.select("doc_id", "text", key)
+            return texts, texts, slim.select("doc_id", "digest", key)
     else:
         slim = plain.select("doc_id", "digest")
     ordered = slim.distinct().orderBy(F.col("doc_id").asc_nulls_last(), "digest")
     names = settle(ordered.withColumn("key", F.monotonically_increasing_id()), "keys")
     right = names.toDF("_id", "_digest", "key")
     joined = plain.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    return joined.select("doc_id", "text", "key"), names
+    texts = joined.select("doc_id", "text", "key")
+    return texts, texts.dropDuplicates(["key"]), names

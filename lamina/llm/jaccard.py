@@ -370,8 +370,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def describe(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keyed texts, names of keys, key with set size n and class rep: the least key with an equal set)."""
-    texts, names = keyed(docs)
-    sets = settle(texts.select("key", "text").mapInArrow(_describe(size), "key long, n long, d1 long, d2 long"), "sets").dropDuplicates(["key"])
+    _, texts, names = keyed(docs)
+    sets = settle(texts.select("key", "text").mapInArrow(_describe(size), "key long, n long, d1 long, d2 long"), "sets")
     firsts = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("rep"), F.count("*").alias("c")).where("c > 1").select("n", "d1", "d2", "rep")
     return texts, names, settle(sets.join(firsts.hint("shuffle_hash"), ["n", "d1", "d2"], "left").select("key", "n", F.coalesce("rep", "key").alias("rep")), "classes")
 
@@ -412,7 +412,7 @@ def links(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> tupl
     lists = buckets.where("members is not null").select(F.xxhash64("members", "flags").alias("list"), F.explode(F.arrays_zip("members", "flags")).alias("m"))
     lists = lists.select("list", F.col("m.members").alias("key"), F.col("m.flags").alias("flag"))
     involved = settle(stars.select(F.col("a").alias("key")).union(stars.select("b")).union(lists.select("key")).distinct(), "involved")
-    sets = settle(by_ids(texts, involved, "key", "left_semi", involved.count()).select("key", "text").mapInArrow(_sets(size), _SETS), "members").dropDuplicates(["key"])
+    sets = settle(by_ids(texts, involved, "key", "left_semi", involved.count()).select("key", "text").mapInArrow(_sets(size), _SETS), "members")
     left = sets.select(F.col("key").alias("a"), "n", F.col("parity").alias("p"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("parity").alias("q"))
     close = stars.join(left, "a").join(right, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(_near(num, den), _PAIRS)

@@ -327,10 +327,10 @@ def _finish(window: int):
 
 def _first_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keyed docs, those with the first key of their text, keys of the others)."""
-    texts, names = keyed(docs)
+    texts, once, names = keyed(docs)
     firsts = names.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     copies = settle(names.join(firsts.hint("shuffle_hash"), "digest").where("key > first").select("key"), "copies")
-    return texts, by_ids(texts, copies, "key", "left_anti", copies.count()), copies
+    return texts, by_ids(once, copies, "key", "left_anti", copies.count()), copies
 
 
 def _later(singles: DataFrame, window: int) -> DataFrame:
