@@ -209,8 +209,8 @@ def _recalled(make):
     return run
 
 
-def _index(text, nprobe=4):
-    return lambda s, d: I.Index(text).train(embeddings(s, d)).add(embeddings(s, d)).search(queries(s, d), K, nprobe)
+def _index(text, nprobe=6, k_factor=10):
+    return lambda s, d: I.Index(text).train(embeddings(s, d)).add(embeddings(s, d)).search(queries(s, d), K, nprobe, k_factor)
 
 
 for _id, _text in (
