@@ -1,9 +1,11 @@
 """Every registered query with a DuckDB twin gives the same rows on the smallest tables; the others give some."""
 
 import math
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lamina import catalog
@@ -26,8 +28,10 @@ def _plain(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+    if v is None or v is pd.NA:
+        return None
+    if isinstance(v, numbers.Real) and not isinstance(v, bool):
+        return None if math.isnan(v) else round(float(v), 5) + 0.0
     return v
 
 
