@@ -19,31 +19,40 @@ from .storage import ship
 from .toxicity import _TERM
 from .words import mix64, whole, word_chunks
 
-#: 1: the word counts; 0: it is ignored.
-MASKS = ("110101101101", "111001011011", "101110010111")
-SPAN = len(MASKS[0])
 #: An overlap of so many words, or of the whole item if that is shorter, with this share of them equal.
 OVERLAP, EQUAL = 13, 0.8
+#: 1: the word counts; 0: it is ignored. In OVERLAP words, every choice of tolerated substitutions leaves a placement of a mask unhurt.
+MASKS = ("10100101111", "11011100011", "11111011")
+#: The same for items of fewer words, by their number of words; under 5 words all must be equal.
+SHORT = {
+    12: ("110001100011", "1101001011", "11011011"), 11: ("11000111", "111011"), 10: ("11001011", "11111", "110111"), 9: ("1111",), 8: ("1111",), 7: ("1111", "110011"), 6: ("1111", "110011"),
+    5: ("1111", "10111", "11011", "11101"), 4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",), 0: (),
+}
 #: Words of test items that are broadcast at a time (under 40 MB); a larger benchmark is joined block by block.
 BLOCK_WORDS = 250_000
 
-_FACTORS = mix64(np.arange(1, SPAN + 1, dtype=np.uint64)) | np.uint64(1)
+_FACTORS = mix64(np.arange(1, OVERLAP + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _masked(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for items of n words."""
+    return SHORT.get(n, MASKS)
+
+
+def _masked(hashes: np.ndarray, mask: str) -> np.ndarray:
     m = max(len(hashes) - len(mask) + 1, 0)
-    total = np.full(m, salt, np.uint64)
+    total = np.full(m, int(mask, 2), np.uint64)
     for k, bit in enumerate(mask):
         if bit == "1":
             total += hashes[k : k + m] * _FACTORS[k]
     return mix64(total)
 
 
-def _seeds(hashes: np.ndarray, ptr: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word positions, hash of the masked run there) for each mask, and for each of the lengths of short items."""
-    for salt, mask in [*enumerate(MASKS), *((100 + n, "1" * n) for n in lengths)]:
+def _seeds(hashes: np.ndarray, ptr: np.ndarray, masks: tuple[str, ...]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(mask, word positions, hash of the masked run there) for each of the masks."""
+    for mask in masks:
         at = np.flatnonzero(whole(ptr, len(mask)))
-        yield at, _masked(hashes, mask, salt)[at]
+        yield mask, at, _masked(hashes, mask)[at]
 
 
 class Items:
@@ -56,12 +65,17 @@ class Items:
             ptr += (ptr[-1] + w.ptr[1:]).tolist()
         self.ids, self.hashes, self.ptr = ids, np.concatenate(hashes), np.array(ptr)
         sizes = np.diff(self.ptr)
-        self.lengths = tuple(sorted({int(n) for n in sizes if 0 < n < SPAN}))
+        lengths: dict[str, list[int]] = {}
+        for n in np.unique(np.minimum(sizes, OVERLAP)).tolist():
+            for mask in masks_of(n):
+                lengths.setdefault(mask, []).append(n)
+        self.masks = tuple(lengths)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        at, seed = [], []
-        for where, found in _seeds(self.hashes, self.ptr, self.lengths):
-            at.append(where)
-            seed.append(found)
+        at, seed = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for mask, where, found in _seeds(self.hashes, self.ptr, self.masks):
+            meant = np.isin(np.minimum(sizes[row[where]], OVERLAP), lengths[mask])
+            at.append(where[meant])
+            seed.append(found[meant])
         at, seed = np.concatenate(at), np.concatenate(seed)
         order = np.argsort(seed, kind="stable")
         self.seeds, at = seed[order], at[order]
@@ -73,7 +87,7 @@ class Items:
         """(row, item) to (equal words, begin, end) of the best verified overlap, by words of the row."""
         row_of = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
         hits = []
-        for at, seed in _seeds(hashes, ptr, self.lengths):
+        for _, at, seed in _seeds(hashes, ptr, self.masks):
             some = self.maybe[(seed >> np.uint64(42)).astype(np.int64)]
             at, seed = at[some], seed[some]
             lo, hi = np.searchsorted(self.seeds, seed, "left"), np.searchsorted(self.seeds, seed, "right")
@@ -120,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_equal, begin and end (words) of each document's best overlap with each item that it contains.
 
     Words are lower-cased runs of letters, digits and non-ASCII characters. Null and empty texts overlap with nothing;
-    items shorter than a seed must be met whole. Repeated rows and rows with null ids give results like any other;
+    items of fewer than 5 words must be met whole. Repeated rows and rows with null ids give results like any other;
     repeated items too. Clean documents give no row; with either table empty the result is empty.
     """
     spark = docs.sparkSession

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -9,6 +10,8 @@ import pyarrow as pa
 import pytest
 
 from lamina.llm import decontamination, html_text, pii, quality, token_counts, toxicity
+from lamina.llm.toxicity import _TERM
+from lamina.llm.words import word_chunks
 
 from .fixtures import SCHEMA, rows, texts, words
 
@@ -36,6 +39,21 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontamination.contaminated(spark.createDataFrame(rows(), SCHEMA), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 17))
+def test_decontamination_looks_at_every_tolerated_pattern(n):
+    """All placements of the tolerated substitutions, in overlaps of n words; then the items alone in longer documents."""
+    width = min(n, decontamination.OVERLAP)
+    least = math.ceil(decontamination.EQUAL * width)
+    item = [f"w{k}" for k in range(n)]
+    for count in (width - least, width - least + 1):
+        places = list(itertools.combinations(range(n), count))
+        docs = [" ".join(["before"] * 9 + [f"x{k}" if k in p else w for k, w in enumerate(item)] + ["after"] * 9) for p in places]
+        expected = [i for i, p in enumerate(places) if any(sum(k not in p for k in range(b, b + width)) >= least for b in range(n - width + 1))]
+        items = decontamination.Items([7], [" ".join(item)])
+        ((_, _, w),) = word_chunks(pa.array(docs), table=_TERM)
+        assert sorted(row for row, _ in items.overlaps(w.hashes, w.ptr)) == expected
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, words(i, 30)) for i in range(40)], "item_id long, text string")
     docs = spark.createDataFrame([(i, words(i, 30) + " " + words(i + 500, 30)) for i in range(60)], "doc_id long, text string")
