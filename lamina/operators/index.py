@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -13,6 +14,9 @@ from ..functions.vector import SIMILARITIES, metric
 from . import quantize as Z
 from .search import ranked
 
+#: Rows that Index.tuned takes as queries.
+TRIALS = 100
+
 
 def lists_of(base: DataFrame, centroids: DataFrame) -> DataFrame:
     """base with list_no, the nearest of centroids(list_no, centroid), ties by number; centroids are few."""
@@ -247,6 +251,32 @@ class Index:
             found = ivf_search(self.rows, asked, as_frame(self.rows.sparkSession, self.centroids), wide, nprobe, self.name)
         return S.refine(found, self.raw, queries, k, self.name) if self.recipe.refine else found
 
+    def tuned(self, k: int, least: float = 0.98) -> tuple[int, int]:
+        """nprobe and k_factor by which search meets at least that share of true neighbours in each of its two steps.
+
+        Measured with TRIALS of the rows as queries, themselves left out, against their exact neighbours among all rows:
+        how many lists are nearer than a neighbour's list, and how many rows are nearer by their codes. A search of one
+        list set needs the first, one with RFlat both; without RFlat the codes alone decide and k_factor has no effect.
+        """
+        from . import search as S
+
+        drawn = self.raw.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(TRIALS).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+        asked = self._through(drawn.toDF("vec_id", "embedding")).toDF("qid", "qvec")
+        truth = S.knn(self.raw, drawn, k + 1, self.name).where("vec_id <> qid").select("qid", "vec_id")
+        own = ["list_no"] if self.centroids is not None else []
+        met = truth.join(self.rows.select("vec_id", *own, "embedding"), "vec_id").join(F.broadcast(asked), "qid")
+        pairs = met.select("qid", "qvec", *own, metric(self.name)(F.col("embedding"), F.col("qvec")).alias("dist")).collect()  # TRIALS * k rows
+        if not pairs:
+            return 1, 1
+        at = lambda counts: int(np.sort(counts)[math.ceil(least * len(counts)) - 1])
+        nprobe = 1
+        if own:
+            near = np.argsort(Z.squared(np.array([r["qvec"] for r in pairs]), self.centroids), 1, kind="stable")
+            nprobe = at((near == np.array([[r["list_no"]] for r in pairs])).argmax(1) + 1)
+        if not self.recipe.refine:
+            return nprobe, 1
+        return nprobe, max(1, math.ceil(at(S.nearer(self.rows, [(r["qid"], r["qvec"], r["dist"]) for r in pairs], self.name)) / k))
+
     def range_search(self, queries: DataFrame, radius: float) -> DataFrame:
         from . import search as S
 

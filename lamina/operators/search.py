@@ -110,6 +110,34 @@ def knn(base: DataFrame, queries: DataFrame, k: int, name: str = "l2", argument:
     return ranked(found, k, similarity=name in SIMILARITIES)
 
 
+def nearer(base: DataFrame, bounds: list[tuple], name: str = "l2") -> np.ndarray:
+    """For each of a few (qid, qvec, dist): how many base rows are at most so far (similarities: at least so near)."""
+    if name not in ("l2", "ip", "l1"):
+        raise ValueError(f"no kernel for {name!r}")
+    qids = sorted({b[0] for b in bounds})
+    vectors = {b[0]: b[1] for b in bounds}
+    groups = [np.array([i for i, b in enumerate(bounds) if b[0] == qid]) for qid in qids]
+    limits = np.array([b[2] for b in bounds], float)
+    shared = base.sparkSession.sparkContext.broadcast((np.array([vectors[qid] for qid in qids], float), groups, -limits if name in SIMILARITIES else limits))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, at, most = shared.value
+        n = np.zeros(len(most), np.int64)
+        slack = 1e-9 * np.maximum(np.abs(most), 1)  # so that rounding does not part a row from itself
+        for batch in batches:
+            x = _matrix(batch.column("embedding"))
+            if len(x):
+                d = np.sort(_distances(x, q, name) * (-1 if name in SIMILARITIES else 1), axis=0)
+                for j, i in enumerate(at):
+                    n[i] += np.searchsorted(d[:, j], (most + slack)[i], "right")
+        yield pa.record_batch([pa.array(np.arange(len(n))), pa.array(n)], ["i", "n"])
+
+    found = base.select("embedding").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(bounds), np.int64)
+    out[found["i"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 def within(base: DataFrame, queries: DataFrame, radius: float, name: str = "l2", argument: float | None = None, where: Column | None = None) -> DataFrame:
     """qid, vec_id, dist of all base rows nearer than the radius (similarities: above it); strict."""
     if where is None and argument is None and name in ("l2", "ip", "l1"):

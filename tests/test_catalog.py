@@ -61,6 +61,16 @@ def test_recall_gates(spark):
         assert got >= least, (name, got)
 
 
+INDEXES = "idx12_ivf_pq idx13_ivf_pq_refined idx16_ivf_residual idx19_pq idx21_residual idx21_local_search idx21_product_residual idx21_product_local_search idx23_two_layer idx28_opq idx28_pre_transform idx44_factory idx52_train_add".split()
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.1"])
+@pytest.mark.parametrize("name", INDEXES)
+def test_index_recall(spark, name, table):
+    got = catalog.queries()[name](spark, f"/root/testdata/{table}").agg({"recall": "avg"}).first()[0]
+    assert got >= 0.9, got
+
+
 def test_entry_points_import_without_llm(spark):
     import __spark_entry__
 
