@@ -269,8 +269,14 @@ def _two_level(s, d):
     return I.as_frame(s, np.concatenate([Z.kmeans_local(p, 3, 8) for p in _parts(s, d)]))
 
 
+def _kmeans_1d(s, d, k):
+    """Of the first component of all rows: distinct values and their counts go to the driver, 16 bytes each."""
+    counted = embeddings(s, d).groupBy(F.element_at("embedding", 1).cast("double").alias("x")).agg(F.count("*").alias("n")).toArrow()
+    return Z.kmeans_1d(counted["x"].to_numpy(), k, counted["n"].to_numpy())
+
+
 for _id in ("qnt03_kmeans_1d", "qnt42_kmeans_1d_helper"):
-    register(_id, lambda s, d: s.createDataFrame([(i, float(c)) for i, c in enumerate(Z.kmeans_1d(Z.sample(embeddings(s, d), 2000)[:, 0], 5))], "k int, centre double"))
+    register(_id, lambda s, d: s.createDataFrame([(i, float(c)) for i, c in enumerate(_kmeans_1d(s, d, 5))], "k int, centre double"))
 register("qnt38_training_sample", lambda s, d: s.createDataFrame([(len(Z.sample(embeddings(s, d), 256)),)], "n long").where("n > 0"))
 for _id, _make in (
     ("qnt10_random_rotation", lambda x: Z.Linear(Z.rotation(x.shape[1]), np.zeros(x.shape[1]))), ("qnt11_pca", lambda x: Z.pca(x, 16)), ("qnt11_pca_whitened", lambda x: Z.pca(x, 16, -0.5, True)), ("qnt12_itq", lambda x: Z.itq(x, 16)), ("qnt13_opq", lambda x: Z.opq(x, 8)), ("qnt33_itq_rotation", lambda x: Z.itq(x, 32)),

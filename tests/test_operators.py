@@ -244,3 +244,25 @@ def test_generators_agree_with_themselves(spark):
     assert abs(often[0]["count"] / 3000 - 0.7) < 0.05 and abs(often[4]["count"] / 3000 - 0.14) < 0.05
     m = N.vectors(spark, 3000, 4).select(F.avg(F.col("embedding")[0]), F.stddev(F.col("embedding")[0])).first()
     assert abs(m[0]) < 0.1 and abs(m[1] - 1) < 0.1
+
+
+def test_kmeans_1d_takes_all_rows(spark, tmp_path):
+    """More rows than any sample had; the same centres as the plain program over every row, and as weighted values."""
+    from lamina import catalog
+
+    r = np.random.default_rng(3)
+    x = np.append(r.integers(0, 60, 6000) / 4, 1000.0)  # one row far away is a cluster of its own
+    frame = spark.createDataFrame([(i, [float(v), 0.0]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    frame.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(row["centre"] for row in catalog.queries()["qnt03_kmeans_1d"](spark, str(tmp_path)).collect())
+    assert got[-1] == 1000.0 and len(got) == 5
+    v, n = np.unique(x, return_counts=True)
+    best = min(sum(((v[a:b] - np.average(v[a:b], weights=n[a:b])) ** 2 * n[a:b]).sum() for a, b in zip((0, *c), (*c, len(v)))) for c in itertools.combinations(range(1, len(v)), 4) if c[3] == len(v) - 1)
+    assert abs((np.abs(x[:, None] - np.array(got)).min(1) ** 2).sum() - best) < 1e-6 * best
+    for _ in range(30):
+        y = r.integers(0, 12, 25).astype(float)
+        k = int(r.integers(1, 5))
+        u, c = np.unique(y, return_counts=True)
+        centres = Z.kmeans_1d(u, k, c)
+        least = min(sum(((p - p.mean()) ** 2).sum() for p in (y[(y >= lo) & (y < hi)] for lo, hi in zip((-1, *cuts), (*cuts, 99)))) for cuts in itertools.combinations(u[1:], min(k, len(u)) - 1))
+        assert abs((np.abs(y[:, None] - centres).min(1) ** 2).sum() - least) < 1e-9
