@@ -1,7 +1,7 @@
 """Removal of repeated word windows, found level by level.
 
 Windows of a quarter of the length are looked at first; those found repeated alone are extended to twice that length,
-and so on up to the full length (or, in longest_repeats, until no candidates survive). Below the full length one
+and so on up to the full length, where doubling stops; longer repeats are not measured. Below the full length one
 sub-window stands for all windows it is the minimizer of: it depends on the words alone, so a repeated window has a
 repeated minimizer, and only about 2 of 17 positions are shuffled. Every level covers all rows; nothing is capped.
 """
