@@ -101,17 +101,25 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        stats = statistics(batch.column(batch.num_columns - 1))
-        yield pa.record_batch([*batch.columns[:-1], *[pa.array(stats[k]) for k in COUNTS]], [*batch.schema.names[:-1], *COUNTS])
+def _measure(text_at: int):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = statistics(batch.column(text_at))
+            carried = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != "_text"]
+            yield pa.record_batch([*[c for _, c in carried], *[pa.array(stats[k]) for k in COUNTS]], [*[n for n, _ in carried], *COUNTS])
 
+    return measure
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS for every row of docs."""
+
+def measure(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, named c0, c1 and so on, and COUNTS for every row of docs."""
     ship(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_measure, f"doc_id {kind}, " + ", ".join(f"{k} long" for k in COUNTS))
+    kinds = dict(docs.dtypes)
+    sent = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    text_at = carry.index("text") if "text" in carry else len(carry)
+    if text_at == len(carry):
+        sent.append(F.col("text").alias("_text"))
+    return docs.select(*sent).mapInArrow(_measure(text_at), ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(carry)), *(f"{k} long" for k in COUNTS)]))
 
 
 def _votes() -> list[F.Column]:
@@ -122,6 +130,8 @@ def _votes() -> list[F.Column]:
 TRUST_GOOD, TRUST_BAD, WEIGHT_GOOD, WEIGHT_BAD = 0.995, 0.40, 0.20, 0.05
 #: Prior share of good documents and its weight as pseudo-documents for each document.
 GOOD_SHARE, WEIGHT_SHARE = 0.85, 0.10
+#: A rule is never taken for worse than chance on good documents, nor its calls of bad ones for rarer than false alarms.
+LEAST_GOOD, LEAST_BAD = 0.5, 0.02
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
@@ -142,7 +152,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple
         good = ((count * p) @ up + TRUST_GOOD * extra) / ((count * p) @ (up + down) + extra)
         extra = WEIGHT_BAD * cast + 1
         bad = ((count * (1 - p)) @ down + TRUST_BAD * extra) / ((count * (1 - p)) @ (up + down) + extra)
-        good, bad = np.clip(good, 0.9, 0.999), np.clip(bad, 0.2, 0.999)
+        good, bad = np.clip(good, LEAST_GOOD, 0.999), np.clip(bad, LEAST_BAD, 0.999)
     return prior, good, bad
 
 
@@ -151,13 +161,8 @@ def _posterior(up: np.ndarray, down: np.ndarray, prior: float, good: np.ndarray,
     return 1 / (1 + np.exp(-lift))
 
 
-def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, COUNTS, the rules' votes, p_quality, base_failed and kept for every row of docs.
-
-    Null texts count as empty and fail, as does any text under MIN_WORDS words or with over half its words in repeated
-    3-word windows. Repeated rows and null ids are judged like any other row; an empty table gives an empty result.
-    """
-    stats = settle(measure(docs), "quality")
+def _judged(stats: DataFrame, threshold: float) -> DataFrame:
+    """stats with the rules' votes, p_quality, base_failed and kept; the fit is over all of its rows."""
     voted = stats.select("*", *_votes())
     names = [f"vote_{r[0]}" for r in RULES]
     counted = voted.groupBy(*names).count().collect()  # at most 3^len(RULES) rows
@@ -173,7 +178,20 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= threshold))
 
 
+def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, COUNTS, the rules' votes, p_quality, base_failed and kept for every row of docs.
+
+    Null texts count as empty and fail, as does any text under MIN_WORDS words or with over half its words in repeated
+    3-word windows. Repeated rows and null ids are judged like any other row; an empty table gives an empty result.
+    """
+    return _judged(settle(measure(docs), "quality").withColumnRenamed("c0", "doc_id"), threshold)
+
+
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that judge() keeps, in docs' columns. Rows are matched by id; null ids can't be and go."""
-    verdict = judge(docs, threshold).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(verdict.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    """The rows of docs that judge() keeps, in docs' columns; every row by its own text, whatever its id.
+
+    The rows are written once, beside their counts, so that none has to be found again.
+    """
+    columns = tuple(docs.columns)
+    kept = _judged(settle(measure(docs, columns), "quality"), threshold).where("kept")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
