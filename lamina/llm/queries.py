@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_text, jaccard, mixing, pii, quality, sharding, substrings, token_counts, toxicity
-from .storage import read
+from .storage import read, spread
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +20,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontamination.contaminated(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,31 +28,31 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), 5, 80, 100)
+    return jaccard.near_duplicates(_documents(spark, sf_dir), 5, 80, 100)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(read(spark, sf_dir, "documents"))
+    return pii.detect(_documents(spark, sf_dir))
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.main_text(read(spark, sf_dir, "pages"))
+    return html_text.main_text(spread(read(spark, sf_dir, "pages")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(read(spark, sf_dir, "documents"), 20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substrings.remove_repeats(_documents(spark, sf_dir), 20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
+    return quality.judge(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.score(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(read(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+    return token_counts.count_tokens(_documents(spark, sf_dir), "piece_bpe_32k.model")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 #: Rows of a one-column id table that may be broadcast (16 bytes each once hashed, so 32 MB).
 BROADCAST_ROWS = 2_000_000
 
+#: The same for tables with a digest and a few numbers (about 100 bytes a row, so 50 MB).
+BROADCAST_WIDE = 500_000
+#: A key with over this share of all rows, and over HEAVY_ROWS of them, is heavy; there are at most HEAVY such keys.
+HEAVY, HEAVY_ROWS = 1000, 256
+
 _written: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
 
@@ -67,6 +72,40 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str, rows: int) -> Data
     return df.join(ids.hint("shuffle_hash"), key, how)
 
 
+def by_groups(df: DataFrame, slim: DataFrame, on: list[str], size: str, rows: int, total: int, how: str = "inner") -> DataFrame:
+    """df joined (inner or left) with slim, one row for each group of df's rows; size counts the group's rows in df.
+
+    Few groups are broadcast. Of more, heavy ones are still broadcast, at most HEAVY rows; the others, none of them with
+    many rows, are joined by a shuffle. So no task gets more than its share of a group that holds much of df.
+    """
+    if rows <= BROADCAST_WIDE:
+        return df.join(F.broadcast(slim.drop(size)), on, how)
+    heavy = (F.col(size) * HEAVY > total) & (F.col(size) > HEAVY_ROWS)
+    large, small = slim.where(heavy).drop(size), slim.where(~heavy).drop(size)
+    of_large = df.join(F.broadcast(large), on)
+    others = df.join(F.broadcast(large.select(*on)), on, "left_anti").join(small.hint("shuffle_hash"), on, how)
+    return of_large.unionByName(others)
+
+
+def spread_join(df: DataFrame, wide: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """df joined with wide on key, which is unique in wide; a heavy key's rows are dealt by other over copies of its row.
+
+    The copies of all keys together are at most twice HEAVY more than there are keys.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") * HEAVY > total) & (F.col("_n") > HEAVY_ROWS))
+    heavy = counts.select(key, F.ceil(F.col("_n") * HEAVY / F.lit(max(total, 1))).cast("int").alias("_copies"))
+    copies = F.coalesce("_copies", F.lit(1))
+    dealt = df.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), copies).cast("int")).drop("_copies")
+    every = wide.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    return dealt.join(every, [key, "_salt"]).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew if its files give work to fewer than half of the cores, as one file of one row group does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

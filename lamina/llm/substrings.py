@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .identity import keyed
-from .storage import by_ids, settle
+from .storage import by_groups, by_ids, settle
 from .words import minimizers, whole, windows, word_chunks
 
 _REGIONS = "key long, begins array<int>, sizes array<int>, hashes binary"
@@ -327,10 +327,10 @@ def _finish(window: int):
 
 def _first_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keyed docs, those with the first key of their text, keys of the others)."""
-    texts, once, names = keyed(docs)
-    firsts = names.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    copies = settle(names.join(firsts.hint("shuffle_hash"), "digest").where("key > first").select("key"), "copies")
-    return texts, by_ids(once, copies, "key", "left_anti", copies.count()), copies
+    found = keyed(docs)
+    firsts = settle(found.names.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    copies = settle(by_groups(found.names, firsts, ["digest"], "n", firsts.count(), found.names.count()).where("key > first").select("key"), "copies")
+    return found.texts, by_ids(found.once, copies, "key", "left_anti", copies.count()), copies
 
 
 def _later(singles: DataFrame, window: int) -> DataFrame:

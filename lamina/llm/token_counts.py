@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path, ship
+from .identity import keyed
+from .storage import BROADCAST_ROWS, by_groups, new_path, settle, ship
 
 CACHE_SCHEMA = "tokenizer binary, digest binary, n_tokens long"
 
@@ -53,27 +54,10 @@ def counter(name: str):
     return lambda texts: [len(x) for x in model.encode_batch(texts, add_special_tokens=False)]
 
 
-def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose digest comes first in this partition; keeps 32 bytes for each distinct text of the partition."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        rows = []
-        for i, digest in enumerate(batch.column("digest").to_pylist()):
-            if digest not in seen:
-                seen.add(digest)
-                rows.append(i)
-        if rows:
-            yield batch.take(pa.array(rows)) if len(rows) < len(batch) else batch
-
-
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _unseen(batches)
-
-
 def _encode(name: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(name)
-        for batch in _unseen(batches):
+        for batch in batches:
             texts = batch.column("text")
             counts = [n for lo in range(0, len(texts), 256) for n in count(texts.slice(lo, 256).to_pylist())]
             yield pa.record_batch([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
@@ -95,18 +79,29 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", cache_
 
     Null texts count as empty: 0 bytes, 0 tokens. Equal texts are encoded once, also across rows with one id; repeated
     rows and null ids stay. cache_path names a cache that outlives the call; without it the cache lasts for this result.
-    A cache holds each digest once unless two calls append at a time; such repeats are equal and harmless.
+    A cache holds each digest once unless two calls append at a time; such repeats are equal and harmless. Only digests
+    are compared; texts move if neither the rows to encode nor the others are few enough to be named everywhere.
     """
     spark = docs.sparkSession
     ship(spark)
     cache_path = cache_path or new_path(spark, "token-cache")
     version = version_digest(tokenizer)
     body = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.unhex(F.sha2(body, 256)).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"), body.alias("text"))
-    known = read_cache(spark, cache_path).where(F.col("tokenizer") == F.lit(version)).select("digest", "n_tokens").distinct()
-    local = keyed.select("digest", "text").mapInArrow(_first_of_each, "digest binary, text string")
-    misses = local.repartition("digest").join(known.hint("shuffle_hash"), "digest", "left_anti")
-    found = misses.select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
-    found.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    found = keyed(docs)
+    slim = settle(docs.select("doc_id", F.unhex(F.sha2(body, 256)).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes")), "token-slim")
+    groups = settle(found.names.groupBy("digest").agg(F.min("key").alias("key")).join(slim.groupBy("digest").agg(F.count("*").alias("n")), "digest"), "token-groups")
+    known = read_cache(spark, cache_path).where(F.col("tokenizer") == F.lit(version))
+    missing = settle(groups.join(known.select("digest").distinct().hint("shuffle_hash"), "digest", "left_anti").select("key", "digest"), "token-misses")
+    misses, documents = missing.count(), found.names.count()
+    if misses <= BROADCAST_ROWS // 2:
+        texts = found.once.join(F.broadcast(missing), "key")
+    elif documents - misses <= BROADCAST_ROWS:  # almost all are to be encoded: those that are not are named
+        others = settle(found.names.join(missing.hint("shuffle_hash"), "key", "left_anti").select("key"), "token-others")
+        texts = found.once.join(F.broadcast(others), "key", "left_anti").withColumn("digest", F.unhex(F.sha2("text", 256)))
+    else:
+        texts = found.once.join(missing.hint("shuffle_hash"), "key")
+    counted = texts.select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
+    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == F.lit(version)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.drop("text").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = groups.select("digest", "n").join(counts, "digest")
+    return by_groups(slim, counts, ["digest"], "n", groups.count(), slim.count()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

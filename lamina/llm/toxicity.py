@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import ship
-from .words import word_chunks
+from .words import TERM, word_chunks
 
 BITS = 18
 #: Labelled rows to fit on at most (about), drawn by a hash of the id.
@@ -24,16 +24,10 @@ FACTORS, ROUNDS, BATCH, RATE, SHRINK_LINEAR, SHRINK_FACTORS = 8, 60, 64, 0.2, 1e
 #: A term takes part if so many documents have it and its share of toxic ones is so many standard errors off.
 MIN_DOCS, MIN_ERRORS = 4, 4.5
 
-#: Bytes of terms, lower-cased; all others part terms.
-_TERM = np.full(256, 32, np.uint8)
-for _b in (*range(48, 58), *range(97, 123), *range(128, 256)):
-    _TERM[_b] = _b
-_TERM[65:91] = np.arange(97, 123)
-
 
 def term_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, sorted distinct buckets row after row, their ptr)."""
-    for lo, hi, w in word_chunks(texts, table=_TERM):
+    for lo, hi, w in word_chunks(texts, table=TERM):
         codes = np.unique((w.row_of.astype(np.int64) << BITS) | (w.hashes >> np.uint64(64 - BITS)).astype(np.int64))
         yield lo, hi, codes & ((1 << BITS) - 1), np.searchsorted(codes, np.arange(hi - lo + 1, dtype=np.int64) << BITS)
 

@@ -10,8 +10,7 @@ import pyarrow as pa
 import pytest
 
 from lamina.llm import decontamination, html_text, pii, quality, token_counts, toxicity
-from lamina.llm.toxicity import _TERM
-from lamina.llm.words import word_chunks
+from lamina.llm.words import TERM, word_chunks
 
 from .fixtures import SCHEMA, rows, texts, words
 
@@ -34,7 +33,7 @@ def test_decontamination_tolerates_substitutions(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 1), (2, 0), (4, 6), (7, 0), (None, 2)}
     kept = {r["doc_id"] for r in decontamination.clean(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
-    assert kept == {3, 5, 6, 8, 9, None}
+    assert kept == {3, 5, 6, 8, 9}  # the row with a null id holds an item too
     assert decontamination.contaminated(spark.createDataFrame([], SCHEMA), bench).count() == 0
     assert decontamination.contaminated(spark.createDataFrame(rows(), SCHEMA), bench.limit(0)).count() == 0
 
@@ -50,16 +49,54 @@ def test_decontamination_looks_at_every_tolerated_pattern(n):
         docs = [" ".join(["before"] * 9 + [f"x{k}" if k in p else w for k, w in enumerate(item)] + ["after"] * 9) for p in places]
         expected = [i for i, p in enumerate(places) if any(sum(k not in p for k in range(b, b + width)) >= least for b in range(n - width + 1))]
         items = decontamination.Items([7], [" ".join(item)])
-        ((_, _, w),) = word_chunks(pa.array(docs), table=_TERM)
+        ((_, _, w),) = word_chunks(pa.array(docs), table=TERM)
         assert sorted(row for row, _ in items.overlaps(w.hashes, w.ptr)) == expected
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    items = spark.createDataFrame([(i, words(i, 30)) for i in range(40)], "item_id long, text string")
-    docs = spark.createDataFrame([(i, words(i, 30) + " " + words(i + 500, 30)) for i in range(60)], "doc_id long, text string")
-    whole = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 200)
-    assert sorted(map(tuple, decontamination.contaminated(docs, items).collect())) == whole and len({r[0] for r in whole}) == 40
+def _brute_overlaps(docs, items):
+    out = set()
+    for doc, text in docs:
+        w = _terms(text)
+        for item, test in items:
+            t = _terms(test)
+            width = min(len(t), decontamination.OVERLAP)
+            if width and any(sum(x == y for x, y in zip(w[i : i + width], t[j : j + width])) >= math.ceil(decontamination.EQUAL * width) for i in range(len(w) - width + 1) for j in range(len(t) - width + 1)):
+                out.add((doc, item))
+    return out
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_decontamination_against_brute_force(spark, monkeypatch, shuffled):
+    """Passages with random substitutions, repeated items, items that share a passage, one document in many rows."""
+    if shuffled:
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontamination, "AT_ONCE", 50)
+    monkeypatch.setattr("lamina.llm.storage.HEAVY_ROWS", 2)
+    r = random.Random(12)
+    shared = words(77, 16, 50)
+    items = [(i, f"{words(i, r.randint(1, 25), 200)} {shared if i % 4 == 0 else ''}") for i in range(24)] + [(3, words(3, 20, 200)), (30, None), (31, ""), (None, words(32, 15))]
+    docs = []
+    for i in range(60):
+        w = (r.choice(items)[1] or "").split()
+        w = [x if r.random() > 0.12 else "other" for x in w]
+        docs.append((i, f"{words(900 + i, r.randint(0, 12))} {' '.join(w)} {words(800 + i, 6)}"))
+    docs += [(100, None), (101, ""), (102, words(5, 20_000) + " " + shared), (None, shared), *[(103, docs[0][1])] * 3]
+    d = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id long, text string, item_id string")
+    b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id long")
+    out = decontamination.contaminated(d, b).collect()
+    expected = _brute_overlaps(docs, items)
+    assert {(x["doc_id"], x["item_id"]) for x in out} == expected
+    times = collections.Counter(x[0] for x in docs)
+    same = collections.Counter(x[0] for x in items)
+    if shuffled:
+        assert collections.Counter((x["doc_id"], x["item_id"]) for x in out) == {k: times[k[0]] * sum(k in _brute_overlaps([y for y in docs if y[0] == k[0]][:1], [it]) for it in items if it[0] == k[1]) for k in expected} and same
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 1 << 20)
+        assert sorted(map(repr, decontamination.contaminated(d, b).collect())) == sorted(map(repr, out))
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    kept = decontamination.clean(d, b)
+    named = {k for k, _ in expected}
+    assert kept.columns == d.columns and sorted(map(repr, ((x["doc_id"], x["text"]) for x in kept.collect()))) == sorted(repr(x) for x in docs if x[0] not in named)
+    assert decontamination.contaminated(d, b.limit(0)).count() == decontamination.contaminated(d.limit(0), b).count() == 0
 
 
 # --- quality -----------------------------------------------------------------------------------------------------------
@@ -88,6 +125,64 @@ def test_quality_verdicts(spark):
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_keep_good_by_row(spark):
+    """Null and repeated ids, and columns named like the counts: each row stays or goes by its own text."""
+    good, bad = ". ".join(words(1, 80).split()), "### $$$ %%% " * 40
+    data = [(None, good, 5), (None, bad, 6), (7, good, 7), (7, bad, 8), (7, good, 7), (8, None, 9)] + [(100 + i, words(50 + i, 90), 0) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_words long")
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["n_words"]) for r in kept.collect())
+    assert got == collections.Counter((d[0], d[2]) for d in data if d[1] not in (bad, None))
+    assert quality.keep_good(docs.limit(0)).count() == 0
+
+
+def _plain_verdicts(all_texts):
+    """The same model in plain loops: votes, expectation-maximisation over single documents, posterior."""
+    fixed = {name: (good, bad) for name, _, good, bad in quality.RULES}
+    votes, floors = [], []
+    for t in all_texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        repeat = len({k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)})
+        chars, symbols = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or ""))
+        letters, upper = len(re.findall("[A-Za-z]", t or "")), len(re.findall("[A-Z]", t or ""))
+        n = max(len(w), 1)
+        value = {
+            "symbols": symbols / max(chars, 1), "symbol_words": sum(bool(re.search(r"[#*$%&|<>]", x)) for x in w) / n, "symbol_run": symbols / n, "repeated_words": repeat / n, "repeated_lines": (len(lines) - len(set(lines))) / max(len(lines), 1),
+            "upper_case": upper / max(letters, 1), "digits": len(re.findall("[0-9]", t or "")) / max(chars, 1), "word_length": abs(chars / n - 6), "vocabulary": 1 - len(set(w)) / math.sqrt(n * 30.0),
+        }
+        votes.append([1 if value[k] <= fixed[k][0] else -1 if value[k] >= fixed[k][1] else 0 for k in fixed])
+        floors.append(len(w) < 50 or 100 * repeat > 50 * len(w))
+    q, k = quality, len(fixed)
+    prior, good, bad = q.GOOD_SHARE, [q.TRUST_GOOD] * k, [q.TRUST_BAD] * k
+
+    def posterior(v):
+        lift = math.log(prior / (1 - prior)) + sum(math.log(good[j] / (1 - bad[j])) if x > 0 else math.log((1 - good[j]) / bad[j]) if x < 0 else 0 for j, x in enumerate(v))
+        return 1 / (1 + math.exp(-lift))
+
+    for _ in range(100):
+        p = [posterior(v) for v in votes]
+        prior = (sum(p) + q.GOOD_SHARE * q.WEIGHT_SHARE * len(p)) / (len(p) * (1 + q.WEIGHT_SHARE))
+        for j in range(k):
+            cast = sum(v[j] != 0 for v in votes)
+            a, b = q.WEIGHT_GOOD * cast + 1, q.WEIGHT_BAD * cast + 1
+            good[j] = (sum(x for x, v in zip(p, votes) if v[j] > 0) + q.TRUST_GOOD * a) / (sum(x for x, v in zip(p, votes) if v[j]) + a)
+            bad[j] = (sum(1 - x for x, v in zip(p, votes) if v[j] < 0) + q.TRUST_BAD * b) / (sum(1 - x for x, v in zip(p, votes) if v[j]) + b)
+            good[j], bad[j] = min(max(good[j], q.LEAST_GOOD), 0.999), min(max(bad[j], q.LEAST_BAD), 0.999)
+    return [(posterior(v), not f and posterior(v) >= 0.5) for v, f in zip(votes, floors)]
+
+
+def test_quality_against_plain_version(spark):
+    r = random.Random(3)
+    mixed = [" ".join(r.choice([w, w, w.upper(), w + "#", str(r.randrange(10**6))]) if r.random() < share else w for w in words(i, 60 + i, 300).split()) for i, share in enumerate([0, 0.1, 0.3, 0.6, 0.9] * 30)] + texts()
+    docs = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
+    out = {x["doc_id"]: x for x in quality.judge(docs).collect()}
+    for i, (p, kept) in enumerate(_plain_verdicts(mixed)):
+        assert out[i]["p_quality"] == pytest.approx(p, abs=1e-6) and out[i]["kept"] == kept
+
+
 def test_quality_em_recovers_accuracies():
     r = random.Random(4)
     count = collections.Counter()
