@@ -11,7 +11,7 @@ from .operators import search
 from .plans import tables
 from .plans.registry import QUERIES
 
-for _part in ("filters", "distances", "graphs", "evaluation", "indexes", "more"):
+for _part in ("filters", "distances", "graphs", "evaluation", "walks", "indexes", "more"):
     import_module(f".plans.{_part}", __package__)
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STEPS = 1_000_003
+def draw(seed: int, *keys: Column) -> Column:
+    """A number from 0 up to 1 that depends on the keys and the seed alone: 48 bits of a digest that other systems have too."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def draw(seed: int, *keys: Column) -> Column:
-    """A number from 0 up to 1 that depends on the keys and the seed alone."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(_STEPS)) / F.lit(float(_STEPS))
+def draw_sql(seed: int, *keys: str) -> str:
+    """The same in DuckDB."""
+    return f"(('0x' || left(md5(concat_ws(':', {seed}, {', '.join(keys)})), 12))::BIGINT / {1 << 48}.0::DOUBLE)"
 
 
 def labels(spark: SparkSession, n: int, kind: str, count: int, seed: int = 1) -> DataFrame:
@@ -65,8 +68,9 @@ def coverage_profiles(covered: DataFrame) -> DataFrame:
     return covered.select("qid", "matched_groups", F.when(g.between(2, 8), "narrow").when(g.between(9, 64), "medium").when(g >= 65, "broad").alias("profile"))
 
 
-def vectors(spark: SparkSession, n: int, d: int, kind: str = "normal", seed: int = 1338) -> DataFrame:
-    """(vec_id, embedding) of seeded numbers. normal, uniform, ints, or smooth: sines of sums of a few normals."""
+def vectors(spark: SparkSession, n: int, d: int, kind: str = "normal", seed: int = 1338, exact: bool = False) -> DataFrame:
+    """(vec_id, embedding) of seeded numbers, as floats, or doubles if exact. normal, uniform, ints, or smooth: sines of
+    sums of a few normals."""
     ids = spark.range(n).withColumnRenamed("id", "vec_id")
     u = lambda i, s: F.greatest(draw(seed + s, F.col("vec_id"), i), F.lit(1e-9))
     normal = lambda i, s=0: F.sqrt(-2 * F.ln(u(i, s))) * F.cos(2 * 3.141592653589793 * u(i, s + 1))
@@ -79,4 +83,4 @@ def vectors(spark: SparkSession, n: int, d: int, kind: str = "normal", seed: int
     }
     if kind not in make:
         raise ValueError(f"unknown kind {kind!r}")
-    return ids.select("vec_id", F.transform(every, make[kind]).cast("array<float>").alias("embedding"))
+    return ids.select("vec_id", F.transform(every, make[kind]).cast("array<double>" if exact else "array<float>").alias("embedding"))

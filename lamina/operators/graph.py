@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import l2
+from .durable import settled
 
 
 def cross_edges(member: DataFrame, edges: DataFrame, c: int) -> DataFrame:
@@ -79,24 +80,36 @@ def reciprocity(edges: DataFrame) -> DataFrame:
     return edges.join(back, ["src", "dst"], "left").agg(F.count("back").alias("mutual"), F.count("*").alias("edges"))
 
 
-def weak_components(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(vec_id, component): the least id that edges reach in either direction, by propagation with label jumping."""
-    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct()
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(vec_id, component): the least id that edges reach in either direction, by propagation with label jumping until
+    nothing changes. Each round is written to the shared folder."""
+    both = settled(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct(), "links")
     labels = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("c"))
-    durable = bool(edges.sparkSession.sparkContext.getCheckpointDir())
-    for _ in range(most):
+    while True:
         near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
         moved = labels.join(near, "u").select("u", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("changed"))
         jump = labels.select(F.col("u").alias("c"), F.col("c").alias("to"))
-        moved = moved.join(jump, "c", "left").select("u", F.least("c", F.coalesce("to", "c")).alias("c"), "changed")
-        moved = moved.checkpoint() if durable else moved.persist()
-        done = not moved.agg(F.max("changed")).first()[0]
+        moved = settled(moved.join(jump, "c", "left").select("u", F.least("c", F.coalesce("to", "c")).alias("c"), "changed"), "labels")
         labels = moved.select("u", "c")
-        if done:
-            break
-    return labels.select(F.col("u").alias("vec_id"), F.col("c").alias("component"))
+        if not moved.agg(F.max("changed")).first()[0]:
+            return labels.select(F.col("u").alias("vec_id"), F.col("c").alias("component"))
 
 
 def graph_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Edges that only one of two graphs has."""
     return a.select("src", "dst").exceptAll(b.select("src", "dst")).withColumn("only", F.lit("a")).unionByName(b.select("src", "dst").exceptAll(a.select("src", "dst")).withColumn("only", F.lit("b")))
+
+
+def special_edges(member: DataFrame, blocks: DataFrame, tree: DataFrame, degree: int, c: int) -> DataFrame:
+    """(src, dst): inside each block every vector's nearest `degree` others, and from each its c nearest in every child block.
+
+    blocks(group_id, prefix), tree(parent, child) of prefixes.
+    """
+    inside = member.join(blocks.select("group_id", "prefix"), "group_id").select("vec_id", "embedding", "prefix")
+    own = nearest_edges(inside.withColumnRenamed("prefix", "group_id"), degree)
+    src = inside.select(F.col("vec_id").alias("src"), F.col("embedding").alias("x"), F.col("prefix").alias("parent"))
+    dst = inside.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("y"), F.col("prefix").alias("child"))
+    met = src.join(tree, "parent").join(dst, "child").select("src", "dst", "child", l2(F.col("x"), F.col("y")).alias("dist"))
+    best = Window.partitionBy("src", "child").orderBy("dist", "dst")
+    down = met.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= c).select("src", "dst")
+    return own.unionByName(down).distinct()

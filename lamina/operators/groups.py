@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import settled
 from .predicates import rare_label_containment
 
 
-def numbered(df: DataFrame, order: str, name: str, start: int = 1, buckets: int = 1024) -> DataFrame:
-    """df with consecutive numbers by an integer column of distinct values, without one task seeing all rows."""
-    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if ends["lo"] is None:
-        return df.withColumn(name, F.lit(start).cast("long"))
-    width = (ends["hi"] - ends["lo"]) // buckets + 1
-    dealt = df.withColumn("_b", F.floor((F.col(order) - ends["lo"]) / F.lit(width)))
+def numbered(df: DataFrame, order: str, name: str, start: int = 1, buckets: int = 256) -> DataFrame:
+    """df with consecutive numbers by a numeric column of distinct values, without one task seeing all rows.
+
+    Rows are dealt to buckets between quantiles of the column, so outliers don't crowd the others into one.
+    """
+    parts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = df.agg(F.percentile_approx(order, parts, 20_000).alias("cuts")).first()["cuts"]
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))])
+    dealt = df.withColumn("_b", F.size(F.filter(bounds, lambda c: c <= F.col(order))) if cuts else F.lit(0))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(order))
@@ -72,7 +75,9 @@ def min_super_sets(grouped: DataFrame, queries: DataFrame, avoid_self: bool = Fa
     if avoid_self:
         same = queries.join(grouped, F.col("qlabels") == F.col("labels")).select("qid", F.col("group_id").alias("c"))
         found = found.join(same, ["qid", "c"], "left_anti")
-    return _minimal(found, supersets(grouped))
+    # only the groups that some query found can be in each other's way
+    met = grouped.join(found.select(F.col("c").alias("group_id")).distinct(), "group_id", "left_semi")
+    return _minimal(found, supersets(met))
 
 
 def coverage(grouped: DataFrame, strict: DataFrame | None = None) -> DataFrame:
@@ -112,20 +117,16 @@ def cover_frontier(grouped: DataFrame, queries: DataFrame, delta: int = 2, cap:
     return near.withColumn("kind", F.lit("frontier")).unionByName(rest.withColumn("kind", F.lit("uncovered")))
 
 
-def hops(edges: DataFrame, entries: DataFrame, most: int = 64) -> DataFrame:
-    """(qid, c, hop): shortest distance from the entry groups along edges(parent, child), level by level.
-
-    A level is never longer than the largest label set, so the loop is short; most bounds it.
-    """
-    reached = entries.select("qid", "c").distinct().withColumn("hop", F.lit(0).cast("long"))
-    level = reached
-    for hop in range(1, most + 1):
+def hops(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(qid, c, hop): shortest distance from the entry groups along edges(parent, child), level by level until no group
+    is new. Each level is written to the shared folder, so plans stay short whatever the depth."""
+    edges = settled(edges.select("parent", "child"), "edges")
+    reached = level = settled(entries.select("qid", "c").distinct().withColumn("hop", F.lit(0).cast("long")), "level")
+    hop = 0
+    while not level.isEmpty():
+        hop += 1
         step = level.join(edges, F.col("c") == F.col("parent")).select("qid", F.col("child").alias("c")).distinct()
-        level = step.join(reached, ["qid", "c"], "left_anti").withColumn("hop", F.lit(hop).cast("long"))
-        if step.sparkSession.sparkContext.getCheckpointDir():
-            level = level.checkpoint()
-        if level.isEmpty():
-            break
+        level = settled(step.join(reached, ["qid", "c"], "left_anti").withColumn("hop", F.lit(hop).cast("long")), "level")
         reached = reached.unionByName(level)
     return reached
 
@@ -168,16 +169,24 @@ def trie_metrics(grouped: DataFrame) -> DataFrame:
 def special_blocks(grouped: DataFrame, threshold: int) -> DataFrame:
     """Blocks cut bottom-up where more than threshold vectors below are in no block yet.
 
-    prefix (the block's root), group_id (its own members), points (without nested blocks). One pass for each depth.
+    prefix (the block's root), group_id (its own members), points (without nested blocks). One pass for each depth,
+    each written to the shared folder.
     """
     deepest = grouped.agg(F.max(F.size("labels"))).first()[0] or 0
-    open_ = grouped.select("group_id", "group_size", "labels", F.size("labels").alias("depth"))
-    done = None
+    open_ = settled(grouped.select("group_id", "group_size", "labels", F.size("labels").alias("depth")), "open")
+    done = grouped.sparkSession.createDataFrame([], "prefix array<int>, group_id long, group_size long, points long")
     for depth in range(deepest, 0, -1):
         here = open_.where(F.col("depth") >= depth).withColumn("prefix", F.expr(f"slice(labels, 1, {depth})"))
         full = here.groupBy("prefix").agg(F.sum("group_size").alias("points")).where(F.col("points") > threshold)
-        cut = here.join(full, "prefix").select("prefix", "group_id", "group_size", "points")
-        done = cut if done is None else done.unionByName(cut)
-        open_ = open_.join(cut.select("group_id"), "group_id", "left_anti")
-    empty = grouped.sparkSession.createDataFrame([], "prefix array<int>, group_id long, group_size long, points long")
-    return done if done is not None else empty
+        cut = settled(here.join(full, "prefix").select("prefix", "group_id", "group_size", "points"), "blocks")
+        done = done.unionByName(cut)
+        open_ = settled(open_.join(cut.select("group_id"), "group_id", "left_anti"), "open")
+    return done
+
+
+def block_tree(blocks: DataFrame) -> DataFrame:
+    """(parent, child) prefixes: each block and the nearest block above it."""
+    roots = blocks.select("prefix").distinct()
+    above = roots.select(F.col("prefix").alias("child"), F.explode(F.sequence(F.lit(0), F.size("prefix") - 1)).alias("n"))
+    above = above.select("child", F.expr("slice(child, 1, n)").alias("parent"), "n").join(roots.withColumnRenamed("prefix", "parent"), "parent")
+    return above.groupBy("child").agg(F.max(F.struct("n", "parent"))["parent"].alias("parent")).select("parent", "child")

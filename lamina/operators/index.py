@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import SIMILARITIES, metric
 from . import quantize as Z
+from .generate import draw
 from .search import ranked
 
 #: Rows that Index.tuned takes as queries.
@@ -19,10 +20,13 @@ TRIALS = 100
 
 
 def lists_of(base: DataFrame, centroids: DataFrame) -> DataFrame:
-    """base with list_no, the nearest of centroids(list_no, centroid), ties by number; centroids are few."""
-    met = base.join(F.broadcast(centroids)).select("vec_id", "embedding", "list_no", metric("l2")(F.col("embedding"), F.col("centroid")).alias("_d"))
-    best = met.groupBy("vec_id").agg(F.min(F.struct(F.round("_d", 9).alias("d"), "list_no")).alias("b"), F.first("embedding").alias("embedding"))
-    return best.select("vec_id", "embedding", F.col("b.list_no").alias("list_no"))
+    """base with list_no, the nearest of centroids(list_no, centroid), ties by number.
+
+    Centroids are few: they travel as one array beside every row, so no vector is shuffled or repeated.
+    """
+    every = centroids.agg(F.collect_list(F.struct("list_no", "centroid")).alias("_c"))
+    near = F.array_min(F.transform("_c", lambda c: F.struct(F.round(metric("l2")(F.col("embedding"), c["centroid"]), 9).alias("d"), c["list_no"].alias("list_no"))))
+    return base.crossJoin(F.broadcast(every)).select("vec_id", "embedding", near["list_no"].alias("list_no"))
 
 
 def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
@@ -91,7 +95,7 @@ def subset(df: DataFrame, kind: str, a: int, b: int) -> DataFrame:
     if kind == "modulo":
         return df.where(F.col("vec_id") % a == b)
     if kind == "fraction":
-        return df.where(F.pmod(F.xxhash64("vec_id"), F.lit(b)) < a)
+        return df.where(draw(0, F.col("vec_id")) * b < a)
     raise ValueError(f"unknown subset {kind!r}")
 
 

@@ -277,6 +277,26 @@ class ProductQuantizer:
         return sum(t[:, codes[:, i]].T for i, t in enumerate(self.tables(q)))
 
 
+@dataclass
+class TwoLayer:
+    """A first code for the nearest of some centroids, then a product code of what that leaves."""
+
+    centroids: np.ndarray
+    inner: ProductQuantizer
+
+    @classmethod
+    def fit(cls, x: np.ndarray, lists: int, m: int, k: int, seed: int = 1234) -> TwoLayer:
+        c = kmeans_local(x, lists, 15, seed)
+        return cls(c, ProductQuantizer.fit(x - c[squared(x, c).argmin(1)], m, k, seed=seed))
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        at = squared(x, self.centroids).argmin(1)
+        return np.concatenate([at[:, None], self.inner.encode(x - self.centroids[at])], 1)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.centroids[codes[:, 0]] + self.inner.decode(codes[:, 1:])
+
+
 @dataclass
 class ResidualQuantizer:
     """A sum of one codeword from each of several books; each book is fitted on what the ones before leave."""

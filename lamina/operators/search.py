@@ -19,6 +19,9 @@ from ..functions.vector import SIMILARITIES, metric
 
 #: Components of query vectors that are sent to all tasks at a time (8 bytes each).
 BLOCK_VALUES = 4_000_000
+#: Pairs of a label set and a query that are sent to all tasks at most (about 100 bytes each); beyond, rows with one label
+#: set are dealt over SALTS tasks.
+MOST_SETS, SALTS = 200_000, 16
 
 
 def ranked(pairs: DataFrame, k: int, *, by: str = "qid", id_col: str = "vec_id", dist: str = "dist", similarity: bool = False) -> DataFrame:
@@ -74,15 +77,25 @@ def _best_of_batch(shared, name: str, k: int | None, radius: float | None):
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors of the queries, block after block of at most BLOCK_VALUES components."""
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("qvec")).alias("d")).first()
-    blocks = max(1, math.ceil((size["n"] or 0) * (size["d"] or 0) / BLOCK_VALUES))
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+    for part in parted(queries):
         table = part.select("qid", "qvec").toArrow()
         if len(table):
             yield table["qid"].to_numpy(), _matrix(table["qvec"].combine_chunks())
 
 
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df marked for broadcast if its counted rows are few enough; else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def parted(queries: DataFrame) -> Iterator[DataFrame]:
+    """The queries in parts of at most BLOCK_VALUES components, each small enough to be sent to all tasks."""
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("qvec")).alias("d")).first()
+    parts = max(1, math.ceil((size["n"] or 0) * (size["d"] or 0) / BLOCK_VALUES))
+    for b in range(parts):
+        yield queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == b)
+
+
 def _kernel_pairs(base: DataFrame, queries: DataFrame, name: str, k: int | None, radius: float | None) -> DataFrame:
     spark = base.sparkSession
     out = None
@@ -93,9 +106,12 @@ def _kernel_pairs(base: DataFrame, queries: DataFrame, name: str, k: int | None,
 
 
 def pairs(base: DataFrame, queries: DataFrame, name: str = "l2", argument: float | None = None, where: Column | None = None) -> DataFrame:
-    """Distance of every query to every base row that the condition allows; the small query side is replicated."""
-    met = base.join(F.broadcast(queries), where if where is not None else F.lit(True))
-    return met.withColumn("dist", metric(name, argument)(F.col("embedding"), F.col("qvec")))
+    """Distance of every query to every base row that the condition allows; queries are replicated part by part."""
+    out = None
+    for part in parted(queries):
+        met = base.join(F.broadcast(part), where if where is not None else F.lit(True))
+        out = met if out is None else out.unionAll(met)
+    return out.withColumn("dist", metric(name, argument)(F.col("embedding"), F.col("qvec")))
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, name: str = "l2", argument: float | None = None, where: Column | None = None) -> DataFrame:
@@ -146,29 +162,71 @@ def within(base: DataFrame, queries: DataFrame, radius: float, name: str = "l2",
     return found.where(F.col("dist") > radius if name in SIMILARITIES else F.col("dist") < radius)
 
 
+def _best_of_sets(shared, name: str, k: int):
+    """Of each batch the k nearest rows to each query among the rows with its label sets."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, queries_of = shared.value
+        similar = name in SIMILARITIES
+        for batch in batches:
+            x, ids = _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy()
+            rows_of: dict[int, list[int]] = {}
+            for i, labels in enumerate(batch.column("labels").to_pylist()):
+                for j in queries_of.get(tuple(labels or ()), ()):
+                    rows_of.setdefault(j, []).append(i)
+            out = []
+            for j, rows in rows_of.items():
+                at = np.array(rows)
+                d = _distances(x[at], q[j : j + 1], name)[:, 0]
+                key = -d if similar else d
+                limit = np.partition(key, min(k, len(at)) - 1)[min(k, len(at)) - 1]  # ties with the k-th stay
+                best = key <= limit
+                out.append((np.full(best.sum(), j), at[best], d[best]))
+            if out:
+                j, i, d = (np.concatenate(c) for c in zip(*out))
+                yield pa.record_batch([pa.array(qids[j]), pa.array(ids[i]), pa.array(d)], ["qid", "vec_id", "dist"])
+
+    return kernel
+
+
 def filtered_knn(base: DataFrame, queries: DataFrame, k: int, scenario: str, name: str = "l2") -> DataFrame:
     """knn among the rows whose label set satisfies the scenario, decided once for each pair of distinct label sets.
 
     base also has labels, queries qlabels. Label sets are matched by an equi-join (equality), on the query's rarest
-    label (containment) or on any common label (overlap); rows then meet through their label sets.
+    label (containment) or on any common label (overlap). Where the matched sets and queries are few enough to be sent
+    to all tasks, the base is read once and not shuffled; else rows meet queries by their label sets, dealt over SALTS.
     """
     from .predicates import rare_label_containment
 
-    base_sets = base.select("labels").distinct().withColumn("key", F.xxhash64("labels"))
-    query_sets = queries.select("qlabels").distinct().withColumn("qkey", F.xxhash64("qlabels"))
     if scenario == "nofilter":
         return knn(base, queries, k, name)
+    base_sets = base.select("labels").distinct()
+    query_sets = queries.select("qlabels").distinct()
     if scenario == "equality":
-        met = query_sets.join(base_sets, F.col("qlabels") == F.col("labels")).select("qkey", "key")
+        met = query_sets.join(base_sets, F.col("qlabels") == F.col("labels")).select("qlabels", F.col("labels").alias("set"))
     elif scenario == "containment":
-        met = rare_label_containment(base_sets.select("key", "labels"), query_sets.select(F.col("qkey").alias("qid"), "qlabels")).select(F.col("qid").alias("qkey"), "key")
+        met = rare_label_containment(base_sets.select(F.col("labels").alias("key"), "labels"), query_sets.select(F.col("qlabels").alias("qid"), "qlabels")).select(F.col("qid").alias("qlabels"), F.col("key").alias("set"))
     elif scenario == "overlap":
-        met = query_sets.select("qkey", F.explode("qlabels").alias("l")).join(base_sets.select("key", F.explode("labels").alias("l")), "l").select("qkey", "key").distinct()
+        met = query_sets.select("qlabels", F.explode("qlabels").alias("l")).join(base_sets.select(F.col("labels").alias("set"), F.explode("labels").alias("l")), "l").select("qlabels", "set").distinct()
     else:
         raise ValueError(f"unknown scenario {scenario!r}")
-    keyed = queries.withColumn("qkey", F.xxhash64("qlabels"))
-    wanted = met.join(keyed, "qkey").select("key", "qid", "qvec")
-    pairs_ = base.withColumn("key", F.xxhash64("labels")).join(wanted, "key")
+    wanted = met.join(queries.select("qid", "qlabels"), "qlabels").select("set", "qid")
+    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("qvec")).alias("d")).first()
+    if name in ("l2", "ip", "l1") and (asked["n"] or 0) * (asked["d"] or 0) <= BLOCK_VALUES:
+        pairs_of = wanted.limit(MOST_SETS + 1).toArrow()
+        if len(pairs_of) <= MOST_SETS:
+            table = queries.select("qid", "qvec").toArrow()
+            qids = table["qid"].to_numpy()
+            place = {qid: j for j, qid in enumerate(qids.tolist())}
+            queries_of: dict[tuple, list[int]] = {}
+            for labels, qid in zip(pairs_of["set"].to_pylist(), pairs_of["qid"].to_pylist()):
+                queries_of.setdefault(tuple(labels), []).append(place[qid])
+            shared = base.sparkSession.sparkContext.broadcast((qids, _matrix(table["qvec"].combine_chunks()), queries_of))
+            found = base.select("vec_id", "embedding", "labels").mapInArrow(_best_of_sets(shared, name, k), "qid long, vec_id long, dist double")
+            return ranked(found, k, similarity=name in SIMILARITIES)
+    dealt = base.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
+    every = wanted.join(queries.select("qid", "qvec"), "qid").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs_ = dealt.join(every.withColumnRenamed("set", "labels"), ["labels", "_salt"])
     return ranked(pairs_.select("qid", "vec_id", metric(name)(F.col("embedding"), F.col("qvec")).alias("dist")), k, similarity=name in SIMILARITIES)
 
 

@@ -99,11 +99,6 @@ register("flt23_id_batch", lambda s, d: embeddings(s, d).join(F.broadcast(_chose
 register("flt24_id_bitmap", lambda s, d: embeddings(s, d).where(P.id_bitmap(F.col("vec_id"), F.unhex(F.lit("0F" * 20)))).select("vec_id"), "SELECT vec_id FROM embeddings WHERE vec_id < 160 AND vec_id % 8 < 4")
 register("flt25_not", lambda s, d: P.id_not_in(embeddings(s, d), _chosen(s, d)).select("vec_id"), f"SELECT vec_id FROM embeddings WHERE vec_id NOT IN {_IDS}")
 register("flt26_all", lambda s, d: embeddings(s, d).where(F.lit(True)).select("vec_id"), "SELECT vec_id FROM embeddings")
-register(
-    "flt27_query_covers_block",
-    lambda s, d: G.special_blocks(_grouped(s, d), 20).select("prefix").distinct().join(F.broadcast(queries(s, d).select("qid", F.slice("qlabels", 1, 1).alias("ql"))), P.containment(F.col("prefix"), F.col("ql"))).select("qid", "prefix"),
-    None,
-)
 register(
     "flt29_masked_lists",
     lambda s, d: _masked(s, d),

@@ -76,28 +76,6 @@ register(
     " SELECT qid, (SELECT count(*) FROM entries e WHERE e.qid = x.qid) AS num_entries, (SELECT count(*) FROM down e WHERE e.qid = x.qid) AS num_descendants, sum(group_size)::BIGINT AS matched_points,"
     " round(sum(group_size) / (SELECT count(*) FROM base), 8) AS total_coverage FROM every x JOIN groups ON group_id = c GROUP BY qid",
 )
-register("agg15_block_query_stats", lambda s, d: _block_stats(s, d))
-register("agg16_special_blocks", lambda s, d: G.special_blocks(grouped(s, d), 20))
-register("agg17_block_summary", lambda s, d: G.special_blocks(grouped(s, d), 20).groupBy("prefix").agg(F.count("*").alias("groups"), F.max("points").alias("points"), F.max("group_size").alias("largest")))
-for _id, _t in (("gen11_threshold_sweep", (5, 20, 60)), ("agg55_sweep_summary", (10, 40))):
-    register(_id, lambda s, d, t=_t: _sweep(s, d, t))
-
-
-def _block_stats(s, d):
-    blocks = G.special_blocks(grouped(s, d), 20)
-    found = G.super_groups(grouped(s, d), broad(s, d)).join(grouped(s, d).select(F.col("group_id").alias("c"), "group_size"), "c").join(blocks.select(F.col("group_id").alias("c"), "prefix"), "c", "left")
-    inside = F.when(F.col("prefix").isNotNull(), F.col("group_size")).otherwise(0)
-    return found.groupBy("qid").agg(F.count_distinct("prefix").alias("blocks"), F.sum(inside).alias("covered_points"), F.sum("group_size").alias("points"), F.round(F.sum(inside) / F.sum("group_size"), 6).alias("ratio"))
-
-
-def _sweep(s, d, thresholds):
-    out = None
-    for t in thresholds:
-        part = G.special_blocks(grouped(s, d), t).agg(F.count_distinct("prefix").alias("blocks"), F.coalesce(F.sum("group_size"), F.lit(0)).alias("points")).withColumn("threshold", F.lit(t))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 register(
     "agg18_medoids",
     lambda s, d: _medoids(s, d),
@@ -260,7 +238,3 @@ register(
     lambda s, d: _routed(s, d).select("qid", F.round(F.log1p("matched_groups") * F.log1p(F.size("qlabels")), 6).alias("f1"), (F.col("matched_groups") * F.size("qlabels")).alias("f2"), F.round(F.size("qlabels") / (F.col("matched_groups") + 1e-9), 6).alias("f3")),
     f"SELECT qid, round(ln(1 + matched_groups) * ln(1 + len(qlabels)), 6) AS f1, matched_groups * len(qlabels) AS f2, round(len(qlabels) / (matched_groups + 1e-9::DOUBLE), 6) AS f3 FROM ({_QC}) JOIN (WITH {QUERIES} SELECT qid, qlabels FROM queries) USING (qid)",
 )
-register(
-    "rte05_route_features",
-    lambda s, d: G.route_stats(grouped(s, d), entries(s, d)).select("qid", F.round(F.col("total_coverage") * F.col("total_coverage"), 8).alias("f1"), F.round(F.col("num_descendants") * F.col("total_coverage"), 8).alias("f2"), F.round(F.log1p("num_descendants"), 8).alias("f3"), (F.col("num_entries") * F.col("num_descendants")).alias("f4")),
-)

@@ -12,10 +12,12 @@ from ..operators import index as I
 from ..operators import kernels as W
 from ..operators import quantize as Z
 from ..operators import search as S
+from ..operators.durable import settled
 from ..streaming.slices import window_of
 from .distances import CENTROIDS, centroids
 from .registry import register
 from .tables import BASE, K, NESTED, QUERIES, base, embeddings, ip, l2, queries
+from .walks import MET, measured, nearest
 
 # --- inverted lists over the labels' mean vectors, exact in SQL ------------------------------------------------------
 
@@ -80,7 +82,7 @@ def _sq(s, d, bits):
 for _id, _b in (("qnt18_scalar_8bit", 8), ("qnt18_scalar_6bit", 6), ("qnt18_scalar_4bit", 4), ("qnt31_scalar_encode", 8), ("idx04_flat_codes", 8)):
     register(_id, lambda s, d, b=_b: _sq(s, d, b).select("vec_id", "codes"), f"{_SQ.format(top=2**_b - 1)} SELECT vec_id, list(code ORDER BY i) AS codes FROM c GROUP BY vec_id")
 register("qnt32_scalar_decode", lambda s, d: _sq(s, d, 8).select("vec_id", F.transform(Z.scalar_values(F.col("codes"), F.col("lo"), F.col("hi"), 8), lambda x: F.round(x, 5) + 0.0).alias("v")), f"{_SQ.format(top=255)} SELECT vec_id, list(round(lo + (code + 0.5) / 255.0::DOUBLE * (hi - lo), 5) + 0.0::DOUBLE ORDER BY i) AS v FROM c GROUP BY vec_id")
-register("idx14_scalar_quantizer_index", lambda s, d: I.Index("SQ8").train(embeddings(s, d)).add(embeddings(s, d)).search(queries(s, d), K).select("qid", "vec_id", "rk"))
+register("idx14_scalar_quantizer_index", measured(lambda s, d: I.Index("SQ8").train(embeddings(s, d)).add(embeddings(s, d)).search(queries(s, d), K), nearest), MET)
 for _id in ("qnt15_l2_normalisation",):
     register(_id, lambda s, d: embeddings(s, d).select("vec_id", F.round(V.norm(V.normalized(F.col("embedding"))), 6).alias("norm")), "SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings")
 register("qnt14_remap_dimensions", lambda s, d: embeddings(s, d).select("vec_id", F.transform(V.remap(F.col("embedding"), [3, -1, 0, 63]), lambda x: F.round(x, 5) + 0.0).alias("v")), "SELECT vec_id, list_transform([embedding[4]::DOUBLE, 0.0::DOUBLE, embedding[1]::DOUBLE, embedding[64]::DOUBLE], lambda x: round(x, 5) + 0.0::DOUBLE) AS v FROM embeddings")
@@ -177,12 +179,41 @@ register(
 
 # --- generated -------------------------------------------------------------------------------------------------------
 
-for _kind in ("zipf", "uniform", "poisson", "one_per_point", "multi_normal"):
-    register(f"gen01_labels_{_kind}", lambda s, d, k=_kind: N.labels(s, 2000, k, 12))
-register("gen02_zipf_quota", lambda s, d: N.labels(s, 2000, "zipf", 12).select("vec_id", F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")))
-register("gen03_power_zipf", lambda s, d: N.power_zipf(s, 2000))
+_D = N.draw_sql
+_IDS_2000 = "ids AS (SELECT range AS vec_id FROM range(2000))"
+
+
+def _bernoulli_sql(count, chance, seed=1):
+    """Labels i of 1 to count with draw < chance(i); a vector without any gets one."""
+    return f"WITH {_IDS_2000}, has AS (SELECT vec_id, list_filter(range(1, {count + 1}), lambda i: {_D(seed, 'vec_id', 'i')} < {chance}) AS l FROM ids) SELECT vec_id, (CASE WHEN len(l) > 0 THEN l ELSE [(floor({_D(seed + 7, 'vec_id')} * {count}) + 1)::BIGINT] END)::INT[] AS labels FROM has"
+
+
+def _middle_sql(seed):
+    return f"(floor(({_D(seed, 'vec_id')} + {_D(seed + 1, 'vec_id')} + {_D(seed + 2, 'vec_id')}) / 3 * 12) + 1)::INT"
+
+
+_GEN = {
+    "zipf": _bernoulli_sql(12, "0.7::DOUBLE / i"), "uniform": _bernoulli_sql(12, "0.5::DOUBLE"), "poisson": _bernoulli_sql(12, "exp(-1.0::DOUBLE) * pow(0.5::DOUBLE, i - 1)"),
+    "one_per_point": f"WITH {_IDS_2000} SELECT vec_id, [(floor({_D(1, 'vec_id')} * 12) + 1)::INT] AS labels FROM ids", "multi_normal": f"WITH {_IDS_2000} SELECT vec_id, list_sort(list_distinct([{_middle_sql(1)}, {_middle_sql(4)}])) AS labels FROM ids",
+}
+for _kind, _sql in _GEN.items():
+    register(f"gen01_labels_{_kind}", lambda s, d, k=_kind: N.labels(s, 2000, k, 12), _sql)
+register("gen02_zipf_quota", lambda s, d: N.labels(s, 2000, "zipf", 12).select("vec_id", F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")), f"SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM ({_GEN['zipf']})) GROUP BY label")
+register("gen03_power_zipf", lambda s, d: N.power_zipf(s, 2000), _bernoulli_sql(30, "least(0.9::DOUBLE, 0.75::DOUBLE / pow(i + 1, 0.85::DOUBLE))", 20260519))
+_STRICT_G = f"WITH {NESTED}, g AS (SELECT row_number() OVER (ORDER BY min(vec_id)) AS group_id, labels, count(*) AS group_size FROM base GROUP BY labels)"
+
+
+def _subsets_sql(hottest=False, children=0):
+    pool = "list_sort(labels)[1:3]" if hottest else "labels"
+    more = f" WHERE (SELECT count(*) FROM g WHERE list_has_all(labels, qlabels)) > {children}" if children else ""
+    return (
+        f"{_STRICT_G}, made AS (SELECT DISTINCT list_filter({pool}, lambda x: {_D(1, 'group_id', 't', 'x')} < 0.5) AS qlabels FROM g, range(1, 5) r(t)),"
+        f" m AS (SELECT qlabels, sum(group_size)::BIGINT AS matched_points FROM made JOIN g ON list_has_all(labels, qlabels) WHERE len(qlabels) > 0 GROUP BY qlabels HAVING sum(group_size) BETWEEN 10 AND 400) SELECT qlabels, matched_points FROM m{more}"
+    )
+
+
 for _id, _o in (("gen04_queries_with_answers", {}), ("gen05_mixed_queries", {}), ("gen07_subset_queries", {"children": 1}), ("gen08_weighted_subset_queries", {"hottest": True})):
-    register(_id, lambda s, d, o=_o: N.subset_queries(G.groups(base(s, d, True)), 4, 10, 400, **o))
+    register(_id, lambda s, d, o=_o: N.subset_queries(G.groups(base(s, d, True)), 4, 10, 400, **o).select("qlabels", "matched_points"), _subsets_sql(**_o))
 _COVER = f"WITH {NESTED}, {QUERIES}, g AS (SELECT labels FROM base GROUP BY labels), c AS (SELECT qid, count(labels) AS matched_groups FROM queries LEFT JOIN g ON list_has_all(labels, qlabels[1:1]) GROUP BY qid)"
 for _id in ("gen09_coverage_profiles", "gen18_coverage_from_index"):
     register(
@@ -191,9 +222,22 @@ for _id in ("gen09_coverage_profiles", "gen18_coverage_from_index"):
         f"{_COVER} SELECT qid, matched_groups, CASE WHEN matched_groups BETWEEN 2 AND 8 THEN 'narrow' WHEN matched_groups BETWEEN 9 AND 64 THEN 'medium' WHEN matched_groups >= 65 THEN 'broad' END AS profile FROM c",
     )
 register("gen10_group_matching", lambda s, d: G.super_groups(G.groups(base(s, d, True)), queries(s, d)).groupBy("qid").agg(F.count("*").alias("n")), f"WITH {NESTED}, {QUERIES}, g AS (SELECT labels FROM base GROUP BY labels) SELECT qid, count(*) AS n FROM queries JOIN g ON list_has_all(labels, qlabels) GROUP BY qid")
+def _vectors_sql(n, dims, kind):
+    u = lambda i, k: f"greatest({_D(1338 + k, 'vec_id', i)}, 1e-9::DOUBLE)"
+    normal = lambda i, k=0: f"sqrt(-2 * ln({u(i, k)})) * cos(2 * 3.141592653589793::DOUBLE * {u(i, k + 1)})"
+    value = {"normal": normal("i"), "uniform": u("i", 0), "ints": f"floor({u('i', 0)} * 256)", "smooth": f"sin({' + '.join(f'{normal(str(k), 10)} * sin(i * ({k} + 1))' for k in range(4))})"}[kind]
+    return f"SELECT vec_id, round(list_sum(list_transform(range(1, {dims + 1}), lambda i: {value})), 4) AS total FROM (SELECT range AS vec_id FROM range({n}))"
+
+
+def _totals(n, dims, kind):
+    """Sums of the generated vectors, over float components, rounded."""
+    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
+    return lambda s, d: N.vectors(s, n, dims, kind, exact=True).select("vec_id", total(F.col("embedding")).alias("total"))
+
+
 for _kind in ("normal", "uniform", "ints", "smooth"):
-    register(f"gen14_vectors_{_kind}", lambda s, d, k=_kind: N.vectors(s, 500, 16, k))
-register("src36_synthetic_vectors", lambda s, d: N.vectors(s, 1000, 32, "smooth"))
+    register(f"gen14_vectors_{_kind}", _totals(500, 16, _kind), _vectors_sql(500, 16, _kind))
+register("src36_synthetic_vectors", _totals(1000, 32, "smooth"), _vectors_sql(1000, 32, "smooth"))
 
 # --- trained ---------------------------------------------------------------------------------------------------------
 
@@ -221,42 +265,52 @@ def _index(text):
 
 for _id, _text in (
     ("idx12_ivf_pq", "IVF8,PQ8x4,RFlat"), ("idx13_ivf_pq_refined", "IVF8,PQ16x4,RFlat"), ("idx16_ivf_residual", "IVF8,RQ4x4,RFlat"), ("idx19_pq", "PQ16x4,RFlat"), ("idx21_residual", "RQ6x4,RFlat"), ("idx21_local_search", "LSQ4x4,RFlat"),
-    ("idx21_product_residual", "PRQ4x2x4,RFlat"), ("idx21_product_local_search", "PLSQ4x2x4,RFlat"), ("idx28_pre_transform", "PCA32,Flat,RFlat"), ("idx28_opq", "OPQ8,PQ8x4,RFlat"), ("idx44_factory", "PCA32,IVF8,SQ8,RFlat"), ("idx23_two_layer", "IVF8,PQ8x4,RFlat"), ("idx52_train_add", "IVF8,Flat"),
+    ("idx21_product_residual", "PRQ4x2x4,RFlat"), ("idx21_product_local_search", "PLSQ4x2x4,RFlat"), ("idx28_pre_transform", "PCA32,Flat,RFlat"), ("idx28_opq", "OPQ8,PQ8x4,RFlat"), ("idx44_factory", "PCA32,IVF8,SQ8,RFlat"), ("idx52_train_add", "IVF8,Flat"),
 ):
-    register(_id, _recalled(_index(_text)))
+    register(_id, measured(_index(_text), nearest), MET)
 
 
 def _member(s, d):
     return embeddings(s, d).select(F.lit(1).cast("long").alias("group_id"), "vec_id", "embedding", "label")
 
 
-for _id, _kind in (("grf11_vamana_search", "vamana"), ("grf28_hnsw_search", "hnsw"), ("grf30_nsg_search", "nsg"), ("grf25_dense_graph_search", "dense"), ("idx06_hnsw", "hnsw"), ("idx08_nsg", "nsg")):
-    register(_id, _recalled(lambda s, d, k=_kind: W.graph_search(_member(s, d), queries(s, d), K, 64, k)))
-for _id in ("grf20_filtered_graph_search", "grf26_filter_map_search", "idx05_filter_graph", "idx07_hybrid_graph", "grf19_filter_graph_executor", "grf27_filter_in_search"):
-    register(_id, lambda s, d: W.graph_search(_member(s, d), queries(s, d), K, 64, "dense", lambda label: label % 2 == 0).select("qid", "vec_id", "rk"))
+def _means(s, d, c):
+    return I.as_frame(s, c)
+
 
+def _spread(s, d, at="embedding"):
+    """The sum of all rows' squared distances to their mean."""
+    each = embeddings(s, d).select(F.posexplode(at).alias("i", "x")).groupBy("i").agg((F.var_pop(F.col("x").cast("double")) * F.count("*")).alias("v"))
+    return each.agg(F.sum("v").alias("spread"))
 
-def _groups(s, d):
-    grouped = G.groups(base(s, d, True))
-    return G.members(base(s, d, True), grouped).select("vec_id", "embedding", "group_id")
 
+def _clusters(make, converged=False):
+    """Number of centroids, and whether all rows together are nearer to them than to the mean of all; converged: also
+    whether one more step of means over all rows would gain less than 2 percent."""
 
-register("grf03_group_graphs", lambda s, d: W.group_graphs(_groups(s, d), W.vamana))
-register("grf07_vamana_build", lambda s, d: W.group_graphs(_member(s, d), W.vamana))
-register("grf23_compressed_graph", lambda s, d: W.group_graphs(_member(s, d), W.dense_graph))
-for _id in ("grf31_nn_descent", "idx09_nn_descent"):
-    register(_id, lambda s, d: W.group_graphs(_member(s, d), lambda x: list(W.nn_descent(x))))
-register("grf12_unified_search", lambda s, d: W.graph_search(_groups(s, d), queries(s, d), K).select("qid", "vec_id", "rk"))
+    def run(s, d):
+        c = make(s, d)
+        placed = settled(Z.assign(embeddings(s, d), c), "placed")
+        good = F.col("left") < F.col("spread")
+        out = placed.agg(F.sum("dist").alias("left")).crossJoin(_spread(s, d))
+        if converged:
+            each = placed.join(embeddings(s, d), "vec_id").select("list_no", F.posexplode("embedding").alias("i", "x")).groupBy("list_no", "i").agg((F.var_pop(F.col("x").cast("double")) * F.count("*")).alias("v"))
+            out = out.crossJoin(each.agg(F.sum("v").alias("next")))
+            good = good & (F.col("next") > 0.98 * F.col("left"))
+        return out.select(F.lit(len(c)).alias("centroids"), good.alias("error_ok"))
 
+    return run
 
-def _means(s, d, c):
-    return I.as_frame(s, c)
 
+def _clusters_sql(n):
+    return f"SELECT {n} AS centroids, true AS error_ok"
 
-for _id, _o in (("qnt01_kmeans", {}), ("qnt05_kmeans_spherical", {"spherical": True}), ("qnt07_kmeans_more", {"rounds": 15})):
-    register(_id, lambda s, d, o=_o: _means(s, d, Z.kmeans(embeddings(s, d), 8, **o)))
-register("qnt06_two_level", lambda s, d: _two_level(s, d))
-register("qnt40_two_level_lists", lambda s, d: Z.assign(embeddings(s, d), np.concatenate([Z.kmeans_local(p, 3, 8) for p in _parts(s, d)])).groupBy("list_no").agg(F.count("*").alias("n")))
+
+for _id, _o in (("qnt01_kmeans", {}), ("qnt07_kmeans_more", {"rounds": 15})):
+    register(_id, _clusters(lambda s, d, o=_o: Z.kmeans(embeddings(s, d), 8, **o), True), _clusters_sql(8))
+register("qnt05_kmeans_spherical", lambda s, d: s.createDataFrame([(8, bool(np.allclose(np.linalg.norm(Z.kmeans(embeddings(s, d), 8, spherical=True), axis=1), 1)))], "centroids int, unit_ok boolean"), "SELECT 8 AS centroids, true AS unit_ok")
+register("qnt06_two_level", _clusters(lambda s, d: np.concatenate([Z.kmeans_local(p, 3, 8) for p in _parts(s, d)])), _clusters_sql(12))
+register("qnt40_two_level_lists", lambda s, d: Z.assign(embeddings(s, d), np.concatenate([Z.kmeans_local(p, 3, 8) for p in _parts(s, d)])).agg(F.count_distinct("list_no").alias("lists"), F.count("*").alias("vectors")), "SELECT 12::BIGINT AS lists, count(*) AS vectors FROM embeddings")
 
 
 def _parts(s, d):
@@ -265,23 +319,47 @@ def _parts(s, d):
     return [x[at == i] for i in range(4) if (at == i).any()]
 
 
-def _two_level(s, d):
-    return I.as_frame(s, np.concatenate([Z.kmeans_local(p, 3, 8) for p in _parts(s, d)]))
-
-
 def _kmeans_1d(s, d, k):
     """Of the first component of all rows: distinct values and their counts go to the driver, 16 bytes each."""
     counted = embeddings(s, d).groupBy(F.element_at("embedding", 1).cast("double").alias("x")).agg(F.count("*").alias("n")).toArrow()
     return Z.kmeans_1d(counted["x"].to_numpy(), k, counted["n"].to_numpy())
 
 
+def _centres(s, d):
+    """Each centre is the mean of the values that are nearest to it, all of the table's rows taken."""
+    centres = s.createDataFrame([(i, float(c)) for i, c in enumerate(_kmeans_1d(s, d, 5))], "k int, centre double").agg(F.collect_list(F.struct("k", "centre")).alias("c"))
+    x = F.element_at("embedding", 1).cast("double")
+    near = F.array_min(F.transform("c", lambda c: F.struct(F.abs(x - c["centre"]).alias("d"), c["k"].alias("k"), c["centre"].alias("centre"))))
+    each = embeddings(s, d).crossJoin(F.broadcast(centres)).select(x.alias("x"), near.alias("n")).groupBy(F.col("n.k").alias("k")).agg(F.avg("x").alias("m"), F.first("n.centre").alias("centre"))
+    return each.select("k", (F.abs(F.col("m") - F.col("centre")) < 1e-6).alias("is_mean"))
+
+
 for _id in ("qnt03_kmeans_1d", "qnt42_kmeans_1d_helper"):
-    register(_id, lambda s, d: s.createDataFrame([(i, float(c)) for i, c in enumerate(_kmeans_1d(s, d, 5))], "k int, centre double"))
-register("qnt38_training_sample", lambda s, d: s.createDataFrame([(len(Z.sample(embeddings(s, d), 256)),)], "n long").where("n > 0"))
-for _id, _make in (
-    ("qnt10_random_rotation", lambda x: Z.Linear(Z.rotation(x.shape[1]), np.zeros(x.shape[1]))), ("qnt11_pca", lambda x: Z.pca(x, 16)), ("qnt11_pca_whitened", lambda x: Z.pca(x, 16, -0.5, True)), ("qnt12_itq", lambda x: Z.itq(x, 16)), ("qnt13_opq", lambda x: Z.opq(x, 8)), ("qnt33_itq_rotation", lambda x: Z.itq(x, 32)),
+    register(_id, _centres, "SELECT range::INT AS k, true AS is_mean FROM range(5)")
+register("qnt38_training_sample", lambda s, d: s.createDataFrame([(len(Z.sample(embeddings(s, d), 256)),)], "n long").select(F.col("n").between(180, 340).alias("size_ok")), "SELECT true AS size_ok")
+
+
+def _turned(make, dims, flat=False):
+    """Rows and components out, and whether the transform keeps lengths or, flat, no component is wider than another."""
+
+    def run(s, d):
+        model = make(Z.sample(embeddings(s, d)))
+        rows = Z.transformed(embeddings(s, d), [model])
+        a = model.a @ model.a.T
+        fine = bool(np.allclose(a, np.eye(len(a)), atol=1e-6))
+        if flat:
+            each = rows.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.var_pop(F.col("x").cast("double")).alias("v")).agg((F.max("v") <= 1.2 * F.min("v")).alias("ok")).first()
+            fine = each["ok"]
+        return rows.agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("components")).withColumn("shape_ok", F.lit(fine))
+
+    return run
+
+
+for _id, _make, _dims, _flat in (
+    ("qnt10_random_rotation", lambda x: Z.Linear(Z.rotation(x.shape[1]), np.zeros(x.shape[1])), 64, False), ("qnt11_pca", lambda x: Z.pca(x, 16), 16, False), ("qnt11_pca_whitened", lambda x: Z.pca(x, 16, -0.5, True), 16, True),
+    ("qnt12_itq", lambda x: Z.itq(x, 16), 16, False), ("qnt13_opq", lambda x: Z.opq(x, 8), 64, False), ("qnt33_itq_rotation", lambda x: Z.itq(x, 32), 32, False),
 ):
-    register(_id, lambda s, d, m=_make: Z.transformed(embeddings(s, d), [m(Z.sample(embeddings(s, d)))]))
+    register(_id, _turned(_make, _dims, _flat), f"SELECT count(*) AS vectors, {_dims} AS components, true AS shape_ok FROM embeddings")
 register("qnt34_inverse_transform", lambda s, d: _there_and_back(s, d), "SELECT vec_id, 0.0::DOUBLE AS error FROM embeddings")
 
 
@@ -295,27 +373,38 @@ _CODERS = {
     "qnt17_product": lambda x: Z.ProductQuantizer.fit(x, 8, 16), "qnt25_pq_encode": lambda x: Z.ProductQuantizer.fit(x, 16, 16), "qnt20_residual": lambda x: Z.ResidualQuantizer.fit(x, 4), "qnt21_local_search": lambda x: Z.LocalSearchQuantizer.fit(x, 4),
     "qnt22_product_residual": lambda x: Z.Stacked.fit(Z.ResidualQuantizer, x, 4, m=2), "qnt23_lattice": lambda x: Z.Lattice(4, 14), "idx25_lattice": lambda x: Z.Lattice(8, 10), "idx53_encode": lambda x: Z.ProductQuantizer.fit(x, 4, 16), "qnt19_additive": lambda x: Z.ResidualQuantizer.fit(x, 3, 8),
 }
-for _id, _make in _CODERS.items():
-    register(_id, lambda s, d, m=_make: Z.coded(embeddings(s, d), m(Z.sample(embeddings(s, d)))))
-for _id in ("qnt26_pq_decode", "idx54_decode"):
-    register(_id, lambda s, d: _decoded(s, d))
 
 
-def _decoded(s, d):
-    model = Z.ProductQuantizer.fit(Z.sample(embeddings(s, d)), 8, 16)
-    return Z.decoded(Z.coded(embeddings(s, d), model), model)
+def _coder(make, share, direction=False):
+    """Rows, and whether codes keep so much of the table: squared errors at most that share of the spread about the mean;
+    direction: whether decoded vectors point the same way, by a mean cosine of at least that share."""
+
+    def run(s, d):
+        model = make(Z.sample(embeddings(s, d)))
+        back = Z.decoded(Z.coded(embeddings(s, d), model), model).select("vec_id", F.col("embedding").alias("back"))
+        met = embeddings(s, d).join(back, "vec_id")
+        if direction:
+            return met.agg(F.count("*").alias("vectors"), (F.avg(V.metric("cosine")(F.col("embedding"), F.col("back"))) >= share).alias("error_ok"))
+        left = met.agg(F.count("*").alias("vectors"), F.sum(V.l2(F.col("embedding"), F.col("back"))).alias("left"))
+        return left.crossJoin(_spread(s, d)).select("vectors", (F.col("left") <= share * F.col("spread")).alias("error_ok"))
+
+    return run
 
 
-for _id in ("qnt28_pq_search", "qnt27_pq_tables", "idx20_multi_index"):
-    register(_id, lambda s, d: _adc(s, d))
+_CODED = "SELECT count(*) AS vectors, true AS error_ok FROM embeddings"
+for _id, _make in _CODERS.items():
+    register(_id, _coder(_make, 0.9, "lattice" in _id), _CODED)
+for _id in ("qnt26_pq_decode", "idx54_decode"):
+    register(_id, _coder(lambda x: Z.ProductQuantizer.fit(x, 8, 16), 0.9), _CODED)
 
 
-def _adc(s, d):
-    model = Z.ProductQuantizer.fit(Z.sample(embeddings(s, d)), 16, 16)
-    return S.ranked(Z.adc_pairs(Z.coded(embeddings(s, d), model), queries(s, d), model, K), K)
+def _symmetric(s, d):
+    tables = Z.ProductQuantizer.fit(Z.sample(embeddings(s, d)), 4, 8).symmetric()
+    rows = [(i, bool(np.allclose(t, t.T) and np.allclose(np.diag(t), 0) and (t >= 0).all()), len(t)) for i, t in enumerate(tables)]
+    return s.createDataFrame(rows, "slice int, symmetric boolean, codes int")
 
 
-register("qnt29_pq_symmetric", lambda s, d: s.createDataFrame([(i, a, b, float(v)) for i, t in enumerate(Z.ProductQuantizer.fit(Z.sample(embeddings(s, d)), 4, 8).symmetric()) for a, r in enumerate(t) for b, v in enumerate(r)], "slice int, a int, b int, dist double"))
+register("qnt29_pq_symmetric", _symmetric, "SELECT range::INT AS slice, true AS symmetric, 8 AS codes FROM range(4)")
 for _id, _dim in (("idx24_lsh", 64), ("idx15_spectral_hash", 32)):
     register(_id, lambda s, d, n=_dim: Z.hash_bits(Z.Linear(Z.rotation(64)[:n], np.zeros(n)) if n == 64 else Z.pca(Z.sample(embeddings(s, d)), n), embeddings(s, d)))
 register("dst35_householder", lambda s, d: Z.transformed(embeddings(s, d), [Z.Linear(np.eye(64) - 2 * np.full((64, 64), 1 / 64), np.zeros(64))]).select("vec_id", F.round(V.norm_squared(F.col("embedding")), 5).alias("n")), f"SELECT vec_id, round({ip('embedding', 'embedding')}, 5) AS n FROM embeddings")

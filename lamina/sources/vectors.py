@@ -7,6 +7,7 @@ file source (one row each file) or, for large files, by the partitioned data sou
 from __future__ import annotations
 
 import json
+import os
 import struct
 
 import numpy as np
@@ -94,16 +95,52 @@ def read_vector_folder(spark: SparkSession, path: str, kind: str = "fvecs") -> D
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, vec_id long, embedding array<float>")
 
 
+def _created(path: str, head: bytes, size: int) -> str:
+    """An empty file of its final size, for tasks to write their records into."""
+    name = path.removeprefix("file://")
+    with open(name, "wb") as f:
+        f.write(head)
+        f.truncate(len(head) + size)
+    return name
+
+
+def _put(name: str, head: int, at: np.ndarray, records: np.ndarray) -> None:
+    """Records into their places, each run of neighbours at once; a repeated task writes the same bytes again."""
+    order = np.argsort(at, kind="stable")
+    at, records = at[order], records[order]
+    with open(name, "r+b") as f:
+        for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+            if len(run):
+                f.seek(head + int(at[run[0]]) * records.shape[1])
+                f.write(records[run].tobytes())
+
+
 def write_vectors(df: DataFrame, path: str, kind: str = "fvecs") -> None:
-    """df(vec_id, embedding) in id order as one file; rows stream through the driver a partition at a time."""
-    code, head, _ = KINDS[kind]
-    with open(path, "wb") as f:
-        if head:
-            shape = df.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-            f.write(struct.pack("<II", shape["n"], shape["d"] or 0))
-        for row in df.select("embedding").orderBy("vec_id").toLocalIterator():
-            x = np.asarray(row[0], code)
-            f.write((b"" if head else struct.pack("<i", len(x))) + x.tobytes())
+    """df(vec_id, embedding) in id order as one file in a folder that all executors can open.
+
+    Records have one size, so each row's place is known from its number and the tasks write side by side; vectors of
+    another length than the longest are an error.
+    """
+    from ..operators.groups import numbered
+
+    code, head, lead = KINDS[kind]
+    shape = df.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.min(F.size("embedding")).alias("least")).first()
+    n, dim = shape["n"], shape["d"] or 0
+    if shape["least"] != shape["d"]:
+        raise ValueError("vectors of different lengths")
+    name = _created(path, struct.pack("<II", n, dim) if head else b"", n * (lead + dim * np.dtype(code).itemsize))
+    if not n:
+        return
+
+    def write(batches):
+        for batch in batches:
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(code).reshape(len(batch), dim)
+            raw = np.frombuffer(np.ascontiguousarray(x).tobytes(), np.uint8).reshape(len(batch), -1)
+            front = np.tile(np.frombuffer(struct.pack("<i", dim), np.uint8), (len(batch), 1)) if lead else raw[:, :0]
+            _put(name, head, batch.column("_at").to_numpy(), np.concatenate([front, raw], 1))
+            yield pa.record_batch([pa.array([len(batch)], pa.int64())], ["n"])
+
+    numbered(df.select("vec_id", "embedding"), "vec_id", "_at", 0).select("_at", "embedding").mapInArrow(write, "n long").agg(F.sum("n")).first()
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -127,23 +164,45 @@ def label_or_default(df: DataFrame) -> DataFrame:
     return df.withColumn("labels", F.coalesce("labels", F.array(F.lit(1))))
 
 
+_ANSWER = [("id", "<u4"), ("d", "<f4")]
+
+
 def write_ground_truth(found: DataFrame, path: str, k: int) -> None:
-    """k pairs (u32 id, f32 distance) for each query in id order; missing ones have id and distance -1."""
-    rows = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rk", "vec_id", "dist"))).alias("r")).orderBy("qid")
-    with open(path, "wb") as f:
-        for row in rows.toLocalIterator():
-            out = np.zeros(k, [("id", "<u4"), ("d", "<f4")])
+    """k pairs (u32 id, f32 distance) for each query in id order; missing ones have id and distance -1. Written by tasks
+    side by side, as vectors are."""
+    from ..operators.groups import numbered
+
+    rows = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rk", "vec_id", "dist"))).alias("r"))
+    name = _created(path, b"", rows.count() * k * 8)
+
+    def write(batches):
+        for batch in batches:
+            out = np.zeros((len(batch), k), _ANSWER)
             out["id"], out["d"] = 0xFFFFFFFF, -1
-            for x in row["r"][:k]:
-                out[x["rk"] - 1] = (x["vec_id"], x["dist"])
-            f.write(out.tobytes())
+            for i, row in enumerate(batch.column("r").to_pylist()):
+                for x in row:
+                    if x["rk"] <= k:
+                        out[i, x["rk"] - 1] = (x["vec_id"], x["dist"])
+            _put(name, 0, batch.column("_at").to_numpy(), out.view(np.uint8).reshape(len(batch), -1))
+            yield pa.record_batch([pa.array([len(batch)], pa.int64())], ["n"])
+
+    numbered(rows, "qid", "_at", 0).select("_at", "r").mapInArrow(write, "n long").agg(F.sum("n")).first()
 
 
 def read_ground_truth(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """query (row number), rk, vec_id (-1: none), dist."""
-    raw = np.fromfile(path, [("id", "<u4"), ("d", "<f4")]).reshape(-1, k)
-    rows = [(i, j + 1, -1 if x["id"] == 0xFFFFFFFF else int(x["id"]), float(x["d"])) for i, r in enumerate(raw) for j, x in enumerate(r)]
-    return spark.createDataFrame(rows, "query long, rk long, vec_id long, dist double")
+    """query (row number), rk, vec_id (-1: none), dist; tasks read their ranges of queries."""
+    name = path.removeprefix("file://")
+    n = os.path.getsize(name) // (8 * k)
+
+    def read(batches):
+        for batch in batches:
+            query = np.sort(batch.column("id").to_numpy())
+            for run in np.split(query, np.flatnonzero(np.diff(query) != 1) + 1):
+                x = np.fromfile(name, _ANSWER, len(run) * k, offset=int(run[0]) * k * 8) if len(run) else np.zeros(0, _ANSWER)
+                ids = np.where(x["id"] == 0xFFFFFFFF, -1, x["id"].astype(np.int64))
+                yield pa.record_batch([pa.array(np.repeat(run, k)), pa.array(np.tile(np.arange(1, k + 1), len(run))), pa.array(ids), pa.array(x["d"].astype(np.float64))], ["query", "rk", "vec_id", "dist"])
+
+    return spark.range(n).mapInArrow(read, "query long, rk long, vec_id long, dist double")
 
 
 def save_index(tables: dict[str, DataFrame], path: str, meta: dict) -> None:

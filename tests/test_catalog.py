@@ -30,9 +30,9 @@ def _plain(v):
         return tuple(_plain(x) for x in v)
     if v is None or v is pd.NA:
         return None
-    if isinstance(v, numbers.Real) and not isinstance(v, bool):
-        return None if math.isnan(v) else round(float(v), 5) + 0.0
-    return v
+    if isinstance(v, bool) or not isinstance(v, numbers.Real):
+        return v
+    return None if math.isnan(v) else round(float(v), 5) + 0.0
 
 
 def _rows(frame):
@@ -54,25 +54,32 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, D).count() > 0
 
 
-def test_recall_gates(spark):
-    """Approximate searches against the exact ones."""
-    for name, least in (("grf11_vamana_search", 0.9), ("grf28_hnsw_search", 0.9), ("grf30_nsg_search", 0.9), ("grf25_dense_graph_search", 0.9), ("idx12_ivf_pq", 0.6), ("idx44_factory", 0.6), ("idx28_pre_transform", 0.5)):
-        got = catalog.queries()[name](spark, D).agg({"recall": "avg"}).first()[0]
-        assert got >= least, (name, got)
+INDEXES = "idx12_ivf_pq idx13_ivf_pq_refined idx16_ivf_residual idx19_pq idx21_residual idx21_local_search idx21_product_residual idx21_product_local_search idx23_two_layer idx28_opq idx28_pre_transform idx44_factory idx52_train_add idx20_multi_index idx14_scalar_quantizer_index grf11_vamana_search grf28_hnsw_search grf30_nsg_search grf25_dense_graph_search grf12_unified_search grf16_free_state_search grf20_filtered_graph_search grf21_base_level_walk grf26_filter_map_search".split()
 
 
-INDEXES = "idx12_ivf_pq idx13_ivf_pq_refined idx16_ivf_residual idx19_pq idx21_residual idx21_local_search idx21_product_residual idx21_product_local_search idx23_two_layer idx28_opq idx28_pre_transform idx44_factory idx52_train_add".split()
-
-
-@pytest.mark.parametrize("table", ["sf0.001", "sf0.1"])
 @pytest.mark.parametrize("name", INDEXES)
-def test_index_recall(spark, name, table):
-    got = catalog.queries()[name](spark, f"/root/testdata/{table}").agg({"recall": "avg"}).first()[0]
-    assert got >= 0.9, got
+def test_recall_on_the_largest_tables(spark, name):
+    """Mean recall of ten is at least 0.9, and filtered searches find nothing that fails the filter."""
+    row = catalog.queries()[name](spark, "/root/testdata/sf0.1").first().asDict()
+    assert row["recall_ok"] and row.get("filter_ok", True), row
 
 
-def test_entry_points_import_without_llm(spark):
+def test_entry_points(spark):
     import __spark_entry__
 
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_points_import_without_llm(tmp_path):
+    """In a copy without the folders that may be deleted, the entry point still offers every other query."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/lamina", tmp_path / "lamina", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), sum(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert out.stdout.split() == [str(len(catalog.queries())), "0"], out.stderr
