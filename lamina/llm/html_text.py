@@ -11,11 +11,13 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .storage import ship
@@ -27,31 +29,71 @@ BLOCK = frozenset(
     " table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|math|object"
+RAW = frozenset("script style".split())
+UNSEEN = frozenset("noscript template svg object".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?:{RAW})\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>",
-    re.I | re.S,
-)
+# Quoted values end before the next "<", so that an unpaired quote costs no more than its own tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>?|<(/?)([a-z][^\s/>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(/?)([a-z][^\s/>]*)([^<>]*+)>", re.I | re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
-PATH, WORDS, NUMBERS, HIDDEN = 96, 32, 6, 16
+PATH, WORDS, NUMBERS, HIDDEN = 192, 32, 6, 16
 WIDTH = PATH + WORDS + NUMBERS
 TRAIN_PAGES, EPOCHS, RATE, SEED = 500, 12, 0.01, 8
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, path tokens, share of the text in links) of each block with text."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Path:
+    """The open elements: which slots their tokens fill, kept up to date element by element."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.open: Counter[str] = Counter()
+        self.count, self.flags, self.tokens = [0] * PATH, bytearray(PATH), 0
+
+    def push(self, name: str, tokens: tuple[str, ...]) -> None:
+        self.stack.append((name, tokens))
+        self.open[name] += 1
+        self.tokens += len(tokens)
+        for t in tokens:
+            slot = _slot(t, PATH)
+            self.count[slot] += 1
+            self.flags[slot] = 1
+
+    def pop(self) -> str:
+        name, tokens = self.stack.pop()
+        self.open[name] -= 1
+        self.tokens -= len(tokens)
+        for t in tokens:
+            slot = _slot(t, PATH)
+            self.count[slot] -= 1
+            self.flags[slot] = self.count[slot] > 0
+        return name
+
+    def close(self, name: str) -> None:
+        """End the innermost element of that name and all inside it; an end tag without a start is ignored."""
+        while self.open[name] and self.pop() != name:
+            pass
+
+    def now(self) -> tuple[bytes, str, int]:
+        return bytes(self.flags), self.stack[-1][1][-1] if self.stack else "", self.tokens
+
+
+#: Text, (filled slots, last token, number of tokens) of the path, share of the text in links.
+Block = tuple[str, tuple[bytes, str, int], float]
+
+
+def blocks(page: str) -> list[Block]:
+    """Each block with text, in page order; time is in proportion to the page's length."""
+    out: list[Block] = []
+    path = Path()
     held: list[str] = []
+    unseen: list[str] = []
     linked, in_link, last = 0, 0, 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not unseen:
             text = html.unescape(raw)
             held.append(text)
             if in_link:
@@ -62,17 +104,36 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append((text, tuple(t for _, names in stack for t in names), min(1.0, linked / len(text))))
+                out.append((text, path.now(), min(1.0, linked / len(text))))
             held.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    at = 0
+    while m := _TOKEN.search(page, at):
         add(page[last : m.start()])
-        last = m.end()
+        last = at = m.end()
         name = (m[2] or m[5] or "").lower()
         ends = bool(m[1] or m[4])
         if not name:
             continue
+        attributes = m[3] or m[6] or ""
+        if name in RAW:
+            if not ends:  # its content ends at its own end tag only
+                found = _RAW_END[name].search(page, at)
+                last = at = found.end() if found else len(page)
+            continue
+        if name in UNSEEN or (unseen and name == "foreignobject"):
+            if ends:
+                if name in unseen:
+                    while unseen.pop() != name:
+                        pass
+            elif not attributes.rstrip().endswith("/"):
+                unseen.append(name)
+            continue
+        if unseen:
+            if unseen[-1] != "svg" or name not in BLOCK:
+                continue
+            unseen.pop()  # a drawing that was not closed ends where the page goes on
         if name == "a":
             in_link = 0 if ends else 1
         elif name == "br":
@@ -82,16 +143,14 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         close()
         in_link = 0
         if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            path.close(name)
         else:
-            if stack and stack[-1][0] == "p" or stack and name == stack[-1][0] and name in ("li", "option", "td", "th", "tr", "dd", "dt"):
-                stack.pop()
+            above = path.stack[-1][0] if path.stack else ""
+            if above == "p" or name == above and name in ("li", "option", "td", "th", "tr", "dd", "dt"):
+                path.pop()
             if name not in VOID:
-                named = " ".join("".join(x) for x in _NAMED.findall(m[3] or m[6] or "")).lower()
-                stack.append((name, (name, *(f".{w}" for w in _WORD.findall(named)))))
+                named = " ".join("".join(x) for x in _NAMED.findall(attributes)).lower()
+                path.push(name, (name, *(f".{w}" for w in _WORD.findall(named))))
     add(page[last:])
     close()
     return out
@@ -99,21 +158,21 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
 
 @lru_cache(maxsize=200_000)
 def _slot(word: str, size: int) -> int:
-    return zlib.crc32(word.encode()) % size
+    return zlib.crc32(word.encode("utf-8", "replace")) % size
 
 
-def features(page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
-    """A row of WIDTH numbers for each block."""
-    x = np.zeros((len(page), WIDTH), np.float32)
-    for i, (text, path, linked) in enumerate(page):
-        for token in path:
-            x[i, _slot(token, PATH)] = 1.0
-        if path:
-            x[i, _slot(f"last {path[-1]}", PATH)] = 1.0
+def features(page: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """A row of WIDTH numbers for each block, or for those from first to before last."""
+    last = len(page) if last is None else last
+    x = np.zeros((last - first, WIDTH), np.float32)
+    for i, (text, (flags, nearest, tokens), linked) in enumerate(page[first:last]):
+        x[i, :PATH] = np.frombuffer(flags, np.uint8)
+        if nearest:
+            x[i, _slot(f"last {nearest}", PATH)] = 1.0
         words = text.lower().split()
         n = len(words)
         x[i, PATH : PATH + WORDS] = np.bincount([_slot(w, WORDS) for w in words], minlength=WORDS) / n
-        x[i, PATH + WORDS :] = (np.log1p(n) / 5, linked, sum(w[-1] in ".!?,;:" for w in words) / n, i / len(page), len(path) / 12, n < 6)
+        x[i, PATH + WORDS :] = (np.log1p(n) / 5, linked, sum(w[-1] in ".!?,;:" for w in words) / n, (first + i) / len(page), min(tokens, 60) / 12, n < 6)
     return x
 
 
@@ -157,9 +216,38 @@ class Labeller:
             hs[t] = h
         return hs, kept
 
+    def _walk(self, d: str, x: np.ndarray, mask: np.ndarray, state: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """What a direction adds to the logits, and its state at the end; nothing else is kept."""
+        steps, n, _ = x.shape
+        pre = x.reshape(-1, WIDTH) @ self.p[d + "x"] + self.p[d + "c"]
+        pre = pre.reshape(steps, n, -1)
+        w = self.p["o"][:HIDDEN, 0] if d == "f" else self.p["o"][HIDDEN:, 0]
+        (h, c), out = state, np.zeros((steps, n), np.float32)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            z = pre[t] + h @ self.p[d + "h"]
+            gates = _sigmoid(z[:, : 3 * HIDDEN])
+            fresh = gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+            m = mask[t][:, None]
+            c = m * fresh + (1 - m) * c
+            h = m * (gates[:, 2 * HIDDEN :] * np.tanh(fresh)) + (1 - m) * h
+            out[t] = h @ w
+        return out, (h, c)
+
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(d, x, mask)[0] for d in "fb"], 2)
-        return (both @ self.p["o"])[..., 0] + self.p["oc"]
+        zero = np.zeros((x.shape[1], HIDDEN), x.dtype)
+        return self._walk("f", x, mask, (zero, zero))[0] + self._walk("b", x, mask, (zero, zero))[0] + self.p["oc"]
+
+    def logits_of_long(self, page: list[Block], piece: int) -> np.ndarray:
+        """Of one page, piece by piece in each direction, so that only a piece's features are held."""
+        out = np.full(len(page), self.p["oc"][0], np.float32)
+        starts = list(range(0, len(page), piece))
+        for d in "fb":
+            state = (np.zeros((1, HIDDEN), np.float32),) * 2
+            for lo in starts if d == "f" else reversed(starts):
+                x = features(page, lo, min(lo + piece, len(page)))[:, None]
+                part, state = self._walk(d, x, np.ones(x.shape[:2], np.float32), state)
+                out[lo : lo + len(x)] += part[:, 0]
+        return out
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         runs = {d: self._run(d, x, mask) for d in "fb"}
@@ -207,6 +295,8 @@ _NAMES = {
     "talk": ["comments", "comment", "comment-list", "disqus", "responses", "replies", "discussion"],
     "text": ["content", "article", "post", "entry", "article-body", "post-content", "entry-content", "story", "main", "text", "body-copy"],
 }
+#: Names of boxes that tell nothing.
+_NEUTRAL = ["page", "wrapper", "container", "layout", "site", "inner", "outer", "col", "row", "grid", "wrap", "region", "panel", "center", "left", "right", "box", "root", "app", "section"]
 
 
 def training_page(r: random.Random) -> tuple[str, list[int]]:
@@ -217,10 +307,13 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
         picked = [r.choice(vocabulary) for _ in range(r.randint(lo, hi))]
         return " ".join(w + ("." if stops and r.random() < 0.12 else "," if stops and r.random() < 0.06 else r.choice(["###", "&amp;&amp;", "!!"]) if r.random() < 0.02 else "") for w in picked)
 
+    def neutral() -> str:
+        return r.choice([*_NEUTRAL, r.choice(vocabulary).encode("ascii", "ignore").decode() or "x1"])
+
     def box(kind: str, tags: list[str], inner: str) -> str:
         tag = r.choice([*tags, "div", "section"])
         plain = tag in tags and tag not in ("div", "section", "ul", "form") and r.random() < 0.6
-        named = "" if plain else f' {r.choice(["class", "class", "id"])}="{r.choice(_NAMES[kind])}{r.choice(["", " clearfix", " row", " x1"])}"'
+        named = "" if plain else f' {r.choice(["class", "class", "id"])}="{r.choice(_NAMES[kind])}{r.choice(["", "", " " + neutral()])}"'
         return f"<{tag}{named}>{inner}</{tag}>"
 
     def prose(mark: str, lo: int, hi: int) -> str:
@@ -260,8 +353,11 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
         return "".join(out)
 
     main = box("text", ["article", "article", "main"], body())
-    if r.random() < 0.3:
-        main = f"<{r.choice(['main', 'div'])}>{main}</{r.choice(['main', 'div'])}>"
+    for _ in range(r.choice([0, 0, 1, 1, 2])):  # boxes around the article, some with what is beside it
+        beside = part[r.choice(["side", "side", "ad", "menu", "note", "talk"])]() if r.random() < 0.4 else ""
+        tag = r.choice(["main", "div", "div", "div", "section"])
+        named = r.choice(["", f' class="{neutral()}"', f' id="{neutral()}"', f' class="{neutral()} {neutral()}"', ' role="main"'])
+        main = f"<{tag}{named}>{main}{beside}</{tag}>" if r.random() < 0.7 else f"<{tag}{named}>{beside}{main}</{tag}>"
     before = [part[k]() for k in ("menu", "head", "note", "ad", "form", "side") if r.random() < (0.7 if k == "menu" else 0.4)]
     after = [part[k]() for k in ("talk", "side", "ad", "form", "menu", "foot", "note") if r.random() < (0.8 if k == "foot" else 0.35)]
     r.shuffle(before)
@@ -298,17 +394,33 @@ def model() -> Labeller:
     return net
 
 
+#: Steps of all pages that go through the network together, padding included; a page with more blocks goes alone.
+STEPS = 32_768
+#: Bytes of pages that are parsed at a time; a longer page is parsed alone.
+CHUNK = 4 << 20
+
+
 def extract(pages: list[str], net: Labeller) -> list[str]:
     """Main text of each page; pages of like length go through the network together."""
     parsed = [blocks(p) for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i in range(len(pages)) if parsed[i]), key=lambda i: len(parsed[i]))
-    for lo in range(0, len(order), 64):
-        some = order[lo : lo + 64]
+
+    def keep(i: int, kept: np.ndarray) -> None:
+        out[i] = "\n".join(text for (text, _, _), yes in zip(parsed[i], kept) if yes)
+
+    while order:
+        n = 1
+        while n < min(64, len(order)) and len(parsed[order[n]]) * (n + 1) <= STEPS:
+            n += 1
+        some, order = order[:n], order[n:]
+        if len(parsed[some[0]]) > STEPS:
+            keep(some[0], net.logits_of_long(parsed[some[0]], STEPS) >= 0)
+            continue
         x, mask = _padded([features(parsed[i]) for i in some])
         kept = net.logits(x, mask) >= 0
         for k, i in enumerate(some):
-            out[i] = "\n".join(text for (text, _, _), keep in zip(parsed[i], kept[:, k]) if keep)
+            keep(i, kept[:, k])
     return out
 
 
@@ -316,10 +428,15 @@ def _extract(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for whole in batches:
-            for lo in range(0, len(whole), 512):
-                batch = whole.slice(lo, 512)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column("html")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < len(whole):
+                before = sizes[lo - 1] if lo else 0
+                hi = min(max(lo + 1, int(np.searchsorted(sizes, before + CHUNK, "right"))), lo + 512)
+                batch = whole.slice(lo, hi - lo)
                 texts = extract([p or "" for p in batch.column("html").to_pylist()], net)
                 yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                lo = hi
 
     return run
 
@@ -328,7 +445,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of pages.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
-    Null html counts as empty and gives an empty text; repeated rows and null ids give results like any other.
+    Content of script, style, noscript, template, svg and object is no text, up to their own end tags. Null html counts as
+    empty and gives an empty text; repeated rows and null ids give results like any other; an empty table gives an empty
+    result; other columns are ignored. A page's memory is in proportion to its length, with no more for its neighbours.
     """
     ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model())
