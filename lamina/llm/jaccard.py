@@ -598,3 +598,24 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
         gone = placed.select("_row").join(first.select("_row"), "_row", "left_anti")
     gone = settle(gone, "gone")
     return by_ids(rows, gone, "_row", "left_anti", gone.count()).select(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g
+  FROM w),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS d FROM shingles GROUP BY doc_id),
+classes AS (SELECT d, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY d),
+of_reps AS (SELECT rep, g FROM shingles JOIN classes ON doc_id = rep),
+shared AS (SELECT x.rep AS a, y.rep AS b, count(*) AS k FROM of_reps x JOIN of_reps y USING (g) WHERE x.rep < y.rep GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (SELECT rep, rep FROM classes UNION SELECT r.a, e.b FROM reached r JOIN steps e ON e.a = r.b),
+least_of AS (SELECT a AS rep, min(b) AS component_id FROM reached GROUP BY a)
+SELECT w.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (d) LEFT JOIN least_of USING (rep)
+"""

@@ -1,7 +1,7 @@
 """Removal of repeated word windows, found level by level.
 
 Windows of a quarter of the length are looked at first; those found repeated alone are extended to twice that length,
-and so on up to the full length, where doubling stops; longer repeats are not measured. Below the full length one
+and so on up to the full length; longest_repeats goes on until no candidates survive. Below the full length one
 sub-window stands for all windows it is the minimizer of: it depends on the words alone, so a repeated window has a
 repeated minimizer, and only about 2 of 17 positions are shuffled. Every level covers all rows; nothing is capped.
 """
@@ -333,8 +333,8 @@ def _first_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return found.texts, by_ids(found.once, copies, "key", "left_anti", copies.count()), copies
 
 
-def _later(singles: DataFrame, window: int) -> DataFrame:
-    """key and the starts of its windows whose words also start earlier, level after level."""
+def _later(singles: DataFrame, window: int, all_of_group: bool = False) -> DataFrame:
+    """key and the starts of its windows whose words also start earlier (or, all_of_group, anywhere else), level after level."""
     first, *rest = _levels(window)
     slim = singles.select("key", "text")
     words = (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
@@ -346,7 +346,43 @@ def _later(singles: DataFrame, window: int) -> DataFrame:
     for length in rest:
         hits = _exchange(regions, _region_points(length, window), words * 2 / (window - length + 2), True)
         found = regions.join(hits.hint("shuffle_hash"), "key")
-    return _exchange(found, _full_windows(length, window), words, False)
+    return _exchange(found, _full_windows(length, window), words, all_of_group)
+
+
+def _longer_windows(length: int):
+    """Windows of twice the length whose two halves were both found repeated."""
+
+    def points(batch: pa.RecordBatch) -> Iterator[Points]:
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        for lo, hi, w in word_chunks(batch.column("text")):
+            flags = _hits(batch, slice(lo, hi), len(w.hashes), w.ptr[:-1], np.zeros(hi - lo, np.int64))
+            starts = np.flatnonzero(whole(w.ptr, 2 * length))
+            starts = starts[flags[starts] & flags[starts + length]]
+            if len(starts):
+                row = w.row_of
+                yield _points(w.hashes, starts, keys[lo + row], np.arange(len(row)) - w.ptr[row], 2 * length)
+
+    return points
+
+
+def longest_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """doc_id, longest and n_starts for every row of docs: the longest of window, 2 * window, 4 * window and so on for which
+    so many consecutive words of the document occur twice or more in the table, and how many such windows it has.
+
+    Windows repeated at one length alone are extended to twice that length, until none is left. Documents without a
+    repeated window get 0 and 0; rows with equal id and text are one document; an empty table gives an empty result.
+    """
+    found = keyed(docs)
+    slim = found.once.select("key", "text")
+    hits = settle(_later(found.once, window, True), "repeats")
+    out, length = hits.select("key", F.lit(window).alias("longest"), F.size("hits").alias("n_starts")), window
+    while total := hits.agg(F.sum(F.size("hits"))).first()[0]:
+        hits = settle(_exchange(slim.join(hits.hint("shuffle_hash"), "key"), _longer_windows(length), total, True), "repeats")
+        length *= 2
+        out = out.unionByName(hits.select("key", F.lit(length).alias("longest"), F.size("hits").alias("n_starts")))
+    best = out.groupBy("key").agg(F.max(F.struct("longest", "n_starts")).alias("b"))
+    named = found.texts.select("doc_id", "key").join(best, "key", "left")
+    return named.select("doc_id", F.coalesce("b.longest", F.lit(0)).cast("long").alias("longest"), F.coalesce("b.n_starts", F.lit(0)).cast("long").alias("n_starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -363,3 +399,21 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     marked = texts.join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "hits", F.coalesce("copy", F.lit(False)).alias("copy"))
     return marked.mapInArrow(_finish(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<begin:int,end:int>>")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM w WHERE len(ws) >= 20),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM starts)
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(20) t(k)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i FROM w),
+marked AS (SELECT words.doc_id, word, words.i, gone.i IS NOT NULL AS removed FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i),
+done AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT removed), '') AS kept
+  FROM marked GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN done USING (doc_id)
+"""

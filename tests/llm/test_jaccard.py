@@ -89,3 +89,41 @@ def test_null_repeated_and_empty(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     kept = jaccard.one_of_each(spark.createDataFrame(rows(), SCHEMA))
     assert {r["doc_id"] for r in kept.collect()}.isdisjoint({7, 8, 50, 10})
+
+
+def test_unrelated_sets_share_no_large_bucket():
+    """Sets of one size without a common shingle: no bucket of the index grows with their number, and none has empties."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 3, 5, 8, 12, 20, 40, 100):
+        n = 4000
+        hashes = np.sort(rng.integers(0, 1 << 63, (n, size)).astype(np.uint64), 1).ravel()
+        plan = jaccard.Plan(80, 100, size, {jaccard.Plan(80, 100, size).band(size): n})
+        sig, own = jaccard._signatures(plan, hashes, np.arange(0, n * size + 1, size))
+        _, times = np.unique(sig & ~jaccard.FLAGS, return_counts=True)
+        assert times.max() <= 3, (size, times.max())
+        assert len(np.unique(own)) == n
+
+
+def test_hot_buckets_in_chunks(spark, monkeypatch):
+    """Texts that share much and link in part, with small packs, chunks and bounds, so that every way is taken."""
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
+    monkeypatch.setattr(jaccard, "LOCAL", 3)
+    monkeypatch.setattr("lamina.llm.storage.BROADCAST_WIDE", 5)
+    monkeypatch.setattr("lamina.llm.storage.HEAVY_ROWS", 4)
+    r = random.Random(8)
+    shared = words(50, 40).split()
+    texts = []
+    for i in range(150):
+        own = words(600 + i % 25, 14).split()
+        w = shared + own
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = f"y{r.randrange(500)}"
+        texts.append(" ".join(w))
+    texts += texts[:40] + ["same short text"] * 30
+    docs = [(i, t, *[None] * 8) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    monkeypatch.setattr(jaccard, "ROWS_PER_PART", 2000)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_duplicates(frame).collect()}
+    assert got == brute([(d[0], d[1]) for d in docs])

@@ -42,3 +42,26 @@ def test_near_equal_and_hot_group_cut(spark):
     assert all(len(s) == 1 for t, s in where.items() if t != hot) and len(where[hot]) > 1
     again = sharding.shard(spark.createDataFrame(docs, SCHEMA), 8).collect()
     assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in again) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in out)
+
+
+def test_only_groups_that_fit_no_shard_are_cut(spark):
+    """A hot text of over a shard, one of a third of a shard, many small groups beside them, repeated rows."""
+    hot, large = words(1, 40), words(2, 60)
+    docs = [(i, hot) for i in range(3000)] + [(5, hot)] * 600 + [(4000 + i, large) for i in range(250)] + [(10_000 + i, words(100 + i // 3, 12)) for i in range(6000)] + [(None, hot)] * 300
+    docs = [(*d, *[None] * 8) for d in docs]
+    out = sharding.shard(spark.createDataFrame(docs, SCHEMA).repartition(7), 8).collect()
+    _check(out, docs, 8)
+    text, where, sizes = {zlib.crc32(d[1].encode()): d[1] for d in docs}, defaultdict(set), Counter()
+    for r in out:
+        where[text[r["text_crc32"]]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert len(where[hot]) > 1 and all(len(s) == 1 for t, s in where.items() if t != hot)
+    mean = sum(sizes.values()) / 8
+    assert max(sizes.values()) < 1.02 * mean and min(sizes.values()) > 0.98 * mean
+
+
+def test_pack_keeps_whole_what_fits():
+    runs = sharding._pack([(70, 7), (50, 5), (40, 4), (30, 3), (5, 1)], 2, 100)
+    assert [sum(n for n, _ in r) for r in runs] == [7, 5, 4, 3, 1]
+    assert [len(r) for r in runs] == [1, 1, 1, 1, 1]
+    assert len(sharding._pack([(500, 50)], 4, 130)[0]) == 4
