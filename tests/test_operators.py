@@ -248,13 +248,13 @@ def test_generators_agree_with_themselves(spark):
 
 def test_kmeans_1d_takes_all_rows(spark, tmp_path):
     """More rows than any sample had; the same centres as the plain program over every row, and as weighted values."""
-    from lamina import catalog
+    from lamina.plans.indexes import _kmeans_1d
 
     r = np.random.default_rng(3)
     x = np.append(r.integers(0, 60, 6000) / 4, 1000.0)  # one row far away is a cluster of its own
     frame = spark.createDataFrame([(i, [float(v), 0.0]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     frame.write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = sorted(row["centre"] for row in catalog.queries()["qnt03_kmeans_1d"](spark, str(tmp_path)).collect())
+    got = sorted(_kmeans_1d(spark, str(tmp_path), 5).tolist())
     assert got[-1] == 1000.0 and len(got) == 5
     v, n = np.unique(x, return_counts=True)
     best = min(sum(((v[a:b] - np.average(v[a:b], weights=n[a:b])) ** 2 * n[a:b]).sum() for a, b in zip((0, *c), (*c, len(v)))) for c in itertools.combinations(range(1, len(v)), 4) if c[3] == len(v) - 1)
