@@ -72,7 +72,6 @@ def shard(
     are rows like any other; an empty table gives an empty result; other columns are ignored, also those named like the
     result's. grown_shard is null under this law.
     """
-    spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     slim = settle(
         docs.select(
@@ -101,7 +100,7 @@ def shard(
         for n, s in placed:
             left[s] -= n * g["bytes"] / g["rows"]
     left = [max(x, 0.0) for x in left]
-    named = spark.createDataFrame([(g["_key"], i) for i, g in enumerate(large)], "_key long, _large int")
+    named = docs.sparkSession.range(1).select(F.posexplode(_table([g["_key"] for g in large], "bigint")).alias("_large", "_key"))
     dealt = slim.join(F.broadcast(named), "_key", "left")
     light = dealt.where("_large is null")
 
