@@ -10,6 +10,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
 
@@ -282,7 +283,8 @@ def models(spark: SparkSession) -> dict[str, tuple[list, float]]:
         for kind in KINDS:
             halves = []
             for seed in (1, 2):
-                rows = spark.createDataFrame(snippets(kind, seed), "text string, label int").repartition(1)
+                made = json.dumps([{"text": t, "label": y} for t, y in snippets(kind, seed)])
+                rows = spark.range(1).select(F.explode(F.from_json(F.lit(made), "array<struct<text:string,label:int>>")).alias("x")).select("x.text", "x.label").repartition(1)
                 found = _proposed(kind, F.translate("text", *PLAIN), F.lit(True))
                 found = rows.select("label", F.explode(F.transform(found, lambda c: _features(kind, F.col("text"), c))).alias("c")).select("label", "c.*").collect()  # about SNIPPETS rows
                 halves.append((np.array([[r[f] for f in FEATURES] for r in found], float), np.array([r["label"] for r in found], float)))
