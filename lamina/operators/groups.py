@@ -25,8 +25,11 @@ def numbered(df: DataFrame, order: str, name: str, start: int = 1, buckets: int
 
 
 def groups(base: DataFrame) -> DataFrame:
-    """group_id (from 1, by first appearance), labels, group_size, first_vec_id of base(vec_id, labels)."""
-    found = base.groupBy("labels").agg(F.count("*").alias("group_size"), F.min("vec_id").alias("first_vec_id"))
+    """group_id (from 1, by first appearance), labels, group_size, first_vec_id of base(vec_id, labels).
+
+    The table is written to the shared folder: whatever is made of the groups reads the base no more.
+    """
+    found = settled(base.groupBy("labels").agg(F.count("*").alias("group_size"), F.min("vec_id").alias("first_vec_id")), "label-sets")
     return numbered(found, "first_vec_id", "group_id").select("group_id", "labels", "group_size", "first_vec_id")
 
 

@@ -216,7 +216,14 @@ register("rte10_frontier_candidates", lambda s, d: _frontier(s, d).where("kind =
 register("rte11_frontier_capped", lambda s, d: G.cover_frontier(grouped(s, d), broad(s, d), 1, 3).where("kind = 'frontier'").select("qid", "c"), f"{_FRONT} SELECT qid, c FROM near QUALIFY row_number() OVER (PARTITION BY qid ORDER BY c) <= 3")
 register("rte12_frontier_descendants", lambda s, d: _frontier(s, d).where("kind = 'frontier'").select("qid", F.col("c").alias("p")).join(G.supersets(grouped(s, d)), "p").select("qid", "c").distinct(), f"{_FRONT} SELECT qid, c FROM cov")
 register("rte13_frontier_uncovered", lambda s, d: _frontier(s, d).where("kind = 'uncovered'").select("qid", "c"), f"{_FRONT} SELECT qid, c FROM cand WHERE (qid, c) NOT IN (SELECT qid, c FROM cov) AND (qid, c) NOT IN (SELECT qid, c FROM near)")
-register("top18_entry_expansion", lambda s, d: G.select_entry_groups(grouped(s, d), G.lng_edges(grouped(s, d)), _frontier(s, d).select("qid", "c")))
+register(
+    "top18_entry_expansion",
+    lambda s, d: G.select_entry_groups(grouped(s, d), G.lng_edges(grouped(s, d)), _frontier(s, d).select("qid", "c")),
+    f"{_FRONT}, {EDGES}, e AS (SELECT qid, c FROM near UNION SELECT qid, c FROM cand WHERE (qid, c) NOT IN (SELECT qid, c FROM cov)),"
+    " walk AS (SELECT qid, c, 0 AS hop FROM e UNION ALL SELECT qid, child, hop + 1 FROM RECWALK JOIN edges ON parent = RECWALK.c), hop AS (SELECT qid, c, min(hop) AS hop FROM walk GROUP BY qid, c),"
+    " scored AS (SELECT qid, c, row_number() OVER (PARTITION BY qid ORDER BY hop * (SELECT sum(group_size) FROM groups) + group_size DESC, c) AS r FROM hop JOIN groups ON group_id = c WHERE hop > 0),"
+    " k AS (SELECT qid, count(*) // 5 AS k FROM e GROUP BY qid) SELECT qid, c FROM e UNION ALL SELECT qid, c FROM scored JOIN k USING (qid) WHERE r <= k".replace("WITH base", "WITH RECURSIVE base", 1).replace("RECWALK", "walk"),
+)
 register("top18_hops", lambda s, d: G.hops(G.lng_edges(grouped(s, d)), entries(s, d)), f"{_MIN}, {EDGES}, walk AS (SELECT qid, c, 0 AS hop FROM entries UNION ALL SELECT qid, child, hop + 1 FROM RECWALK JOIN edges ON parent = RECWALK.c) SELECT qid, c, min(hop)::BIGINT AS hop FROM walk GROUP BY qid, c".replace("WITH base", "WITH RECURSIVE base", 1).replace("RECWALK", "walk"))
 
 _ROUTE = "CASE WHEN len(qlabels) <= 1 THEN 2 WHEN matched_points < 8 THEN 1 ELSE 0 END"

@@ -202,7 +202,12 @@ def _augmented(s, d):
     return near.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("dist", "src"))).where("place <= 8").select("src", "dst")
 
 
-register("grf32_augmenting_edges", _augmented)
+register(
+    "grf32_augmenting_edges",
+    _augmented,
+    f"WITH s AS (SELECT vec_id AS qid, embedding AS qvec FROM embeddings WHERE {N.draw_sql(3, 'vec_id')} < 0.1), n AS (SELECT vec_id AS src, qid AS dst, {l2('embedding', 'qvec')} AS dist FROM embeddings, s WHERE vec_id <> qid QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, qid) <= 2)"
+    " SELECT src, dst FROM n QUALIFY row_number() OVER (PARTITION BY dst ORDER BY dist, src) <= 8",
+)
 
 
 def _levels(s, d):
