@@ -26,6 +26,8 @@ MIN_DOCS, MIN_ERRORS = 4, 4.5
 #: Two terms take part too if so many documents have both and, among those with either, the share of toxic ones with both is
 #: so many standard errors off: a pair can tell what neither term does.
 PAIR_DOCS, PAIR_ERRORS = 16, 6.0
+#: Labelled rows in which such pairs are looked for at most; of more, every n-th of the sorted rows, so both labels keep their share.
+MAX_PAIRED = 5_000
 
 
 def term_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -64,24 +66,28 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(terms, ptr), -30, 30)))
 
 
-def telling_pairs(docs: list[np.ndarray], y: np.ndarray, often: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Terms of pairs that tell more than their terms: for each term, counts of all others in its documents."""
+def telling_pairs(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Terms of pairs that tell more than their terms: for each term, counts of all later ones in its documents."""
+    step = -(-len(docs) // MAX_PAIRED)
+    docs, y = docs[::step], y[::step]
+    sizes = [len(d) for d in docs]
+    often = np.bincount(np.concatenate(docs), minlength=1 << BITS)
+    toxic = np.bincount(np.concatenate(docs), np.repeat(y, sizes), 1 << BITS)
     test = np.flatnonzero(often >= PAIR_DOCS)
-    place = np.full(len(often), -1, np.int64)
-    place[test] = np.arange(len(test))
-    terms, row = place[np.concatenate(docs)], np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    slot = np.full(len(often), -1, np.int64)
+    slot[test] = np.arange(len(test))
+    terms, row = slot[np.concatenate(docs)], np.repeat(np.arange(len(docs)), sizes)
     terms, row = terms[terms >= 0], row[terms >= 0]
     ptr = np.searchsorted(row, np.arange(len(docs) + 1))
     by_term = np.argsort(terms, kind="stable")
-    docs_of, begin = row[by_term], np.searchsorted(terms[by_term], np.arange(len(test) + 1))
+    begin = np.searchsorted(terms[by_term], np.arange(len(test) + 1))
     share = np.clip((toxic[test] + y.mean()) / (often[test] + 1), 1e-3, 1 - 1e-3)
     found = np.zeros(len(test), bool)
     for a in range(len(test)):
-        inside = docs_of[begin[a] : begin[a + 1]]
-        n = ptr[inside + 1] - ptr[inside]
-        at = terms[np.repeat(ptr[inside] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
-        both, hits = np.bincount(at, minlength=len(test)), np.bincount(at, np.repeat(y[inside], n), len(test))
-        both[a] = 0
+        place = by_term[begin[a] : begin[a + 1]]
+        n = ptr[row[place] + 1] - place - 1  # a document's terms are in order
+        at = terms[np.repeat(place + 1 - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+        both, hits = np.bincount(at, minlength=len(test)), np.bincount(at, np.repeat(y[row[place]], n), len(test))
         off = [np.abs(hits - both * p) / np.sqrt(both * p * (1 - p) + 1e-9) for p in (share[a], share)]
         good = (both >= PAIR_DOCS) & (off[0] >= PAIR_ERRORS) & (off[1] >= PAIR_ERRORS)
         found |= good
@@ -102,7 +108,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     often = np.bincount(terms, minlength=1 << BITS)
     toxic = np.bincount(terms, np.repeat(y, [len(d) for d in docs]), 1 << BITS)
     errors = (toxic - often * share) / np.sqrt(np.maximum(often, 1) * share * (1 - share))
-    used = np.union1d(np.flatnonzero((often >= MIN_DOCS) & (np.abs(errors) >= MIN_ERRORS)), telling_pairs(docs, y, often, toxic))
+    used = np.union1d(np.flatnonzero((often >= MIN_DOCS) & (np.abs(errors) >= MIN_ERRORS)), telling_pairs(docs, y))
     slot[used] = np.arange(len(used))
     kept = [s[s >= 0] for s in (slot[d] for d in docs)]
     w, v = np.zeros(len(used)), rng.normal(0, 0.01, (len(used), FACTORS))
