@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import decontamination, jaccard, mixing, quality, sharding
-from lamina.llm.storage import read, settle
+from lamina.llm.storage import bound_batches, read, settle
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    bound_batches(spark)
     return quality.keep_good(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays."""
+    bound_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain benchmark items go."""
+    bound_batches(spark)
     return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 

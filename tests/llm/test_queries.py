@@ -88,3 +88,29 @@ def test_stages_with_null_and_repeated_ids(spark):
     e = stage["mixing sources"](spark, c, D)
     out = stage["sharding"](spark, e, D)
     assert out.count() == e.count() > 0
+
+
+def test_pipeline_bounds_arrow_batches_by_bytes(spark):
+    """A partition of texts reaches a worker in batches of bounded bytes and at most one text more, whole; a session's own bound stays."""
+    import corpus_pipeline as P
+    import pyarrow as pa
+    from lamina.llm.storage import BATCH_BYTES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([len(b)]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    long = ". ".join(words(3, 700_000).split())
+    data = [(i, f"{i} " + ". ".join(words(i, 600).split())) for i in range(2500)] + [(2500, long), (2501, None)]
+    for _, stage in P.STAGES[:3]:
+        counts = []
+        for bound in (None, 1 << 30):
+            own = spark.newSession()
+            if bound:
+                own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bound)
+            docs = own.createDataFrame([(i, t, "en", "a", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars int").coalesce(1)
+            counts.append(stage(own, docs, D).count())
+            got = [tuple(r) for r in docs.select("text").mapInArrow(sizes, "n long, bytes long").collect()]
+            assert sum(n for n, _ in got) == len(data)
+            assert (len(got) == 1) if bound else max(x for _, x in got) <= 1.1 * BATCH_BYTES + len(long)
+        assert counts[0] == counts[1]
